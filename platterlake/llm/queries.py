@@ -6,12 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import OP5_SQL, op5_chat
+from .classifier import op4_quality
+from .mixing import OP6_SQL, op6_mixing
 from .pii import op1_pii
+from .quality_rules import op10_quality_rules
 from .simhash import op2_simhash
+from .token_counts import op9_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
+    "op4_quality": op4_quality,
+    "op5_chat": op5_chat,
+    "op6_mixing": op6_mixing,
+    "op9_token_counts": op9_token_counts,
+    "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_chat": OP5_SQL, "op6_mixing": OP6_SQL}
