@@ -5,7 +5,7 @@ strongest response to each filter is its feature.  Chunks start every ``CHUNK``
 overlap by ``WIDTH - STRIDE``, so they cover the whole text.  The mean and the maximum of
 the chunks' features feed one logistic unit.
 
-Training takes at most ``SAMPLE`` labelled documents, by hash of their ids, of each at most
+Training takes about ``SAMPLE`` labelled documents, by hash of their ids, of each at most
 ``TRAIN_CHUNKS`` chunks evenly spread over the whole text; scoring takes every chunk.
 
 Defined results: null and empty texts are one chunk of padding and get a score like any
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, table
+from .common import about, remainder, table
 
 E, WIDTH, STRIDE, FILTERS, CHUNK = 4, 12, 4, 32, 512
 SAMPLE, TRAIN_CHUNKS, EPOCHS, BATCH, RATE, SEED = 4000, 64, 10, 64, 0.01, 7
@@ -142,10 +142,10 @@ def _gradient(p: Params, data: list[np.ndarray], y: np.ndarray) -> Params:
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[list, np.ndarray]:
-    """Texts and labels of at most ``most`` labelled documents outside the held-out fold."""
+    """Texts and labels of about ``most`` labelled documents outside the held-out fold."""
     held = remainder(F.col("doc_id"), FOLDS) == 0
-    chosen = labels.where(F.col("quality").isin(0, 1) & ~held).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
-    rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").limit(most)  # repeated ids stay within the bound
+    chosen = about(labels.where(F.col("quality").isin(0, 1) & ~held).select("doc_id", "quality"), "doc_id", most)
+    rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").limit(2 * most)  # a bound for repeated ids
     got = sorted(rows.select("doc_id", "quality", "text").collect(), key=lambda r: (r[0], r[1], r[2] or ""))
     return [r[2] for r in got], np.array([r[1] for r in got], np.float32)
 

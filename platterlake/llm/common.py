@@ -69,9 +69,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def words_of(text: Column) -> Column:
     """The words of a text as an array; null and blank texts give an empty one."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), GAP, -1), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP, -1), "")
 
 
 def remainder(doc_id: Column, of: int) -> Column:
     """crc32 of the id as text, modulo ``of``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % of
+
+
+def about(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """About ``most`` of the rows, or all if they are fewer, by hash of ``key``: the same rows
+    in every run, without an order or a limit over all of them."""
+    share = min(1.0, most / max(1, rows.count()))
+    return rows.where(F.pmod(F.xxhash64(F.lit("about"), F.col(key)), F.lit(1 << 30)) < int(share * (1 << 30)))
