@@ -27,9 +27,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, stage, table, words_of
+from .common import remainder, stage, table
 
-HEAD, TOP, CLASSES, DIM, CONTEXT = 65_536, 256, 64, 16, 2
+HEAD, TOP, CLASSES, DIM, CONTEXT = 131_072, 192, 48, 16, 2
 NOISE, BATCH, RATE, SEED = 32, 4096, 0.05, 11
 FOLDS, HELD = 7, 2
 UNITS = TOP + CLASSES
@@ -47,8 +47,9 @@ def class_of(token: bytes) -> int:
 
 def counts(train: DataFrame) -> DataFrame:
     """(token, c) over the texts of ``train``; the end token is the empty string."""
-    lower = F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    every = train.select(F.explode(words_of(lower)).alias("token")).groupBy("token").agg(F.count("*").alias("c"))
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    plain = F.translate(F.coalesce(F.col("text"), F.lit("")), capitals + "\t\n\x0b\x0c\r", capitals.lower() + " " * 5)
+    every = train.select(F.explode(F.split(plain, " ", -1)).alias("token")).where("token <> ''").groupBy("token").agg(F.count("*").alias("c"))
     ends = train.agg(F.count("*").alias("c")).where("c > 0").select(F.lit("").alias("token"), "c")
     return every.union(ends)
 
@@ -80,7 +81,15 @@ class Vocabulary(dict):
 def vocabulary(counted: DataFrame) -> Vocabulary:
     """The head of the counts and the sums of count plus one per class of the rest."""
     n, v = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = [(r[0].encode(), r[1]) for r in counted.orderBy(F.desc("c"), "token").limit(HEAD).collect()]
+    # Levels of the counts, under 1,000 in all, tell the least one whose tokens are few enough.
+    level = F.floor(F.log2("c") * 16)
+    cut, tokens_above = 1 << 30, 0
+    for k, t in sorted(counted.groupBy(level.alias("k")).agg(F.count("*")).collect(), reverse=True):
+        tokens_above += t
+        if tokens_above > HEAD:
+            break
+        cut = k
+    head = sorted(((r[0].encode(), r[1]) for r in counted.where(level >= cut).collect()), key=lambda r: (-r[1], r[0]))
     raw = F.col("token").cast("binary")
     last = F.substring(raw, -2, 2)
     sums = counted.groupBy((F.crc32(F.when(F.octet_length("token") > 2, last).otherwise(raw)) % CLASSES).alias("k")).agg(F.sum(F.col("c") + 1)).collect()
@@ -223,14 +232,17 @@ def train(train_docs: DataFrame, vocab: Vocabulary) -> Weights:
 
 def log_probs(w: Weights, units: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Normalised log10 probabilities of units in their contexts."""
-    out, ctx = np.empty(len(units)), contexts(units, ends)
-    for i in range(0, len(units), 8192):
-        part = slice(i, i + 8192)
-        s = _predicted(w, ctx[:, part]) @ w["outputs"].T + w["bias"]
+    out, ctx = np.empty(len(units), np.float32), contexts(units, ends)
+    ones, to = np.ones(UNITS, np.float32), np.ascontiguousarray(w["outputs"].T)
+    for i in range(0, len(units), 2048):
+        part = slice(i, i + 2048)
+        s = _predicted(w, ctx[:, part]) @ to
+        s += w["bias"]
+        s -= max(0.0, float(s.max()) - 80.0)  # no overflow
         own = s[np.arange(len(s)), units[part]]
-        top = s.max(axis=1)
-        out[part] = (own - top - np.log(np.exp(s - top[:, None]).sum(axis=1))) / np.log(10)
-    return out
+        np.exp(s, out=s)
+        out[part] = own - np.log(np.maximum(s @ ones, 1e-37))
+    return out.astype(np.float64) / np.log(10)
 
 
 _SCHEMA = "row long, doc_id long, held_out boolean, n_tokens long, n_head long, base double, score double, tail array<string>"
