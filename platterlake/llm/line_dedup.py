@@ -42,7 +42,8 @@ def _cell(token: Column) -> Column:
 def rarity(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row (cells): for each cell a byte, 1 to 126, that rises with the logarithm of
     its words' count over all documents.  CELLS bytes for any input."""
-    counts = docs.select(F.explode(words_of(F.col(text))).alias("token")).groupBy(_cell(F.col("token")).alias("cell")).agg(F.count("*").alias("n"))
+    plain = F.translate(F.coalesce(F.col(text), F.lit("")), "\t\n\x0b\x0c\r", " " * 5)
+    counts = docs.select(F.explode(F.split(plain, " ", -1)).alias("token")).where("token <> ''").groupBy(_cell(F.col("token")).alias("cell")).agg(F.count("*").alias("n"))
     every = docs.sparkSession.range(CELLS).join(counts, F.col("id") == F.col("cell"), "left")
     level = F.least(F.lit(126), 1 + F.floor(3 * F.log2(1 + F.coalesce("n", F.lit(0)))))
     rows = every.select((F.col("id") / 1024).cast("int").alias("hi"), F.col("id"), F.chr(level).alias("c"))
@@ -52,11 +53,10 @@ def rarity(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, at, line, h): each different line of a document with enough words, at its
-    first place."""
+    """(doc_id, at, line, h): each different line of a document at its first place."""
     body = F.array_distinct(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(body).alias("at", "line"))
-    return rows.where(_counts(F.col("line"))).withColumn("h", F.xxhash64("line"))
+    return rows.withColumn("h", F.xxhash64("line"))
 
 
 def _counts(line: Column) -> Column:
@@ -64,23 +64,29 @@ def _counts(line: Column) -> Column:
 
 
 def _tokens(line: Column, cells: Column) -> Column:
-    """(n, bits, prefix): words, bitmap and the rarest words' keys of a line."""
+    """(n, bits, more_bits, prefix): words, bitmap of 128 bits and the rarest words' keys of a
+    line; null if it has too few words."""
 
     def key(cells: Column, h: Column) -> Column:
         level = F.ascii(F.substr(cells, F.pmod(h, F.lit(CELLS)).cast("int") + 1, F.lit(1)).cast("string"))
         return F.shiftleft(level.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
+    def bits(hashes: Column, half: int) -> Column:
+        mine = lambda h: F.shiftrightunsigned(h, 30).bitwiseAND(F.lit(1)).bitwiseXOR(F.lit(half).cast("long"))
+        place = lambda h: F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(63)).cast("int")
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseOR(F.call_function("shiftleft", mine(h), place(h))))
+
     def shaped(hashes: Column) -> Column:
         n = F.size(hashes)
-        bits = F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(63)).cast("int"))))
         prefix = let(cells, lambda c: F.sort_array(F.transform(hashes, lambda h: key(c, h))))
-        return F.struct(n.alias("n"), bits.alias("bits"), F.slice(prefix, 1, n - F.ceil(n * 8 / 10).cast("int") + 1).alias("prefix"))
+        found = F.struct(n.alias("n"), bits(hashes, 0).alias("bits"), bits(hashes, 1).alias("more_bits"), F.slice(prefix, 1, n - F.ceil(n * 8 / 10).cast("int") + 1).alias("prefix"))
+        return F.when(n >= LEAST_WORDS, found)
 
     return let(F.transform(F.array_distinct(words_of(line)), lambda w: F.xxhash64(w)), shaped)
 
 
 def _postings(lines: DataFrame) -> DataFrame:
-    return lines.select("h", "doc_id", "at", "n", "bits", F.posexplode("prefix").alias("place", "key"))
+    return lines.select("h", "doc_id", "at", "n", "bits", "more_bits", F.posexplode("prefix").alias("place", "key"))
 
 
 def _may_match(a: str, b: str) -> Column:
@@ -90,7 +96,7 @@ def _may_match(a: str, b: str) -> Column:
     need = F.ceil(total * 4 / 9)
     length = 5 * F.least(c(a, "n"), c(b, "n")) >= 4 * F.greatest(c(a, "n"), c(b, "n"))
     place = F.least(c(a, "n") - c(a, "place"), c(b, "n") - c(b, "place")) >= need - F.least(c(a, "place"), c(b, "place"))
-    bits = F.bit_count(c(a, "bits").bitwiseXOR(c(b, "bits"))) <= total - 2 * need
+    bits = F.bit_count(c(a, "bits").bitwiseXOR(c(b, "bits"))) + F.bit_count(c(a, "more_bits").bitwiseXOR(c(b, "more_bits"))) <= total - 2 * need
     return length & place & bits
 
 
@@ -110,7 +116,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, lines: DataFrame, text: str) ->
     wanted = pairs.select(F.col("earlier").alias("h")).union(pairs.select("later")).distinct()
     wanted = stage(lines.join(wanted, "h", "left_semi").select(F.col("h").alias("wh"), F.col("doc_id").alias("wd")), "wanted")
     rows = _lines(docs, text).join(_small(wanted), (F.col("h") == F.col("wh")) & F.col("doc_id").eqNullSafe(F.col("wd")), "left_semi")
-    words = stage(rows.select("h", F.array_distinct(words_of(F.col("line"))).alias("words")).dropDuplicates(["h"]), "words")
+    words = stage(rows.select("h", F.array_distinct(words_of(F.col("line"))).alias("words")), "words")
     both = pairs.join(words.toDF("earlier", "a"), "earlier").join(words.toDF("later", "b"), "later")
     share = 9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))
     return both.where(share).select(F.col("later").alias("h")).distinct()
@@ -123,20 +129,20 @@ def matched_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     # The optimizer moves the one value of the subquery into its single use, so it is
     # sent with the tasks and never copied into rows.
     shaped = _lines(docs, text).withColumn("cells", cells).select("doc_id", "at", "h", _tokens(F.col("line"), F.col("cells")).alias("t"))
-    first = F.min(F.struct("doc_id", "at", "t.n", "t.bits", "t.prefix"))
-    lines = stage(shaped.groupBy("h").agg(first.alias("f"), F.count("*").alias("docs")).select("h", "docs", "f.*"), "lines")
+    first = F.min(F.struct("doc_id", "at", "t.n", "t.bits", "t.more_bits", "t.prefix"))
+    lines = stage(shaped.groupBy("h").agg(first.alias("f"), F.count("*").alias("docs")).select("h", "docs", "f.*").where("n is not null"), "lines")
 
     dealt = _postings(lines).repartition("key")
-    least = dealt.groupBy("key").agg(F.count("*").alias("lines"), F.min(F.struct("doc_id", "at", "h", "n", "bits", "place")).alias("p")).where("lines > 1").select("key", "p")
+    least = dealt.groupBy("key").agg(F.count("*").alias("lines"), F.min(F.struct("doc_id", "at", "h", "n", "bits", "more_bits", "place")).alias("p")).where("lines > 1").select("key", "p")
     shared = stage(dealt.join(least, "key"), "shared")
 
-    e = shared.select(F.struct("p.*").alias("e"), F.struct("doc_id", "at", "h", "n", "bits", "place").alias("l"))
+    e = shared.select(F.struct("p.*").alias("e"), F.struct("doc_id", "at", "h", "n", "bits", "more_bits", "place").alias("l"))
     pairs = stage(e.where(_earlier("e", "l") & _may_match("e", "l")).select(F.col("e.h").alias("earlier"), F.col("l.h").alias("later")).distinct(), "pairs")
     found = stage(_verified(pairs, docs, lines, text), "found")
 
     # Equal words in another order or spacing are near copies too; their hashes differ.
-    open_ = shared.join(found, "h", "left_anti").select("key", F.struct("doc_id", "at", "h", "n", "bits", "place").alias("l"))
-    every = shared.select("key", F.struct("doc_id", "at", "h", "n", "bits", "place").alias("e"))
+    open_ = shared.join(found, "h", "left_anti").select("key", F.struct("doc_id", "at", "h", "n", "bits", "more_bits", "place").alias("l"))
+    every = shared.select("key", F.struct("doc_id", "at", "h", "n", "bits", "more_bits", "place").alias("e"))
     met = open_.join(every, "key").where(_earlier("e", "l") & _may_match("e", "l"))
     more = met.select(F.col("e.h").alias("earlier"), F.col("l.h").alias("later")).distinct()
     more = stage(more.join(pairs, ["earlier", "later"], "left_anti"), "pairs")
@@ -164,7 +170,8 @@ def without_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     # and lines repeated in one linear pass; a short one is marked by its place and stays.
     marked = F.transform(body, lambda x, i: F.when(_counts(x), F.concat(F.lit(":"), x)).otherwise(F.concat(i.cast("string"), F.lit(":"), x)))
     lost = F.transform(F.coalesce(F.col("gone"), F.array().cast("array<string>")), lambda x: F.concat(F.lit(":"), x))
-    kept = F.transform(F.array_except(marked, lost), lambda x: F.substr(x, F.instr(x, ":") + 1))
+    left = F.transform(F.array_except(marked, lost), lambda x: F.substr(x, F.instr(x, ":") + 1))
+    kept = F.when(F.col("gone").isNull() & (F.size(F.array_distinct(body)) == F.size(body)), body).otherwise(left)
     out = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")), "left")
     blank = F.trim(F.translate(F.coalesce(F.col(text), F.lit("")), "\t\n\x0b\x0c\r", "     ")) == ""
     out = out.withColumn("was_blank", blank).withColumn("kept_lines", F.when(F.col(text).isNull(), None).otherwise(kept))
