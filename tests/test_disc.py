@@ -191,7 +191,7 @@ def test_noise_never_crashes_a_decoder(seed):
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
     at = tmp_path_factory.mktemp("images")
-    images = {"a.ssd": b.dfs(DISC), "b.adf": b.new_map({b"A": b.FILE, b"B": b"x"}, {b"A": 3})[0], "c.img": b.afs3("mux"), "d.bin": b"\x01" * 600}
+    images = {"a.ssd": b.dfs(DISC), "b.adf": b.new_map({b"A": b.FILE * 9, b"B": b"x"}, {b"A": 3})[0], "c.img": b.afs3("mux"), "d.bin": b"\x01" * 600}
     for n, d in images.items():
         (at / n).write_bytes(d)
     return at
