@@ -11,10 +11,11 @@ By the prefix filter, lines that match share one of their first ``n - ceil(0.8 n
 words; length, place and a bitmap of the words bound what a pair can still share; what is
 left is verified on the words themselves.
 
-No group of lines gives all its pairs.  Each line first meets, for each prefix word, the
-earliest line that has it: lines in a crowd of near copies find their match there, in rows
-in proportion to the lines.  Only lines without a match so far meet all earlier lines that
-pass every filter.
+No group of lines gives all its pairs.  Where a prefix word has up to ``FEW`` lines, each
+meets the earlier ones that pass every filter.  Where it has more, each first meets the
+earliest and the ``LAST`` before it: lines in a crowd of near copies find their match
+there, in rows in proportion to the lines.  Only lines without a match so far then meet all earlier lines of
+such words that pass every filter.
 
 Defined results: null texts stay null; a repeated id is one document to the order, and all
 its rows keep the lines it keeps; a document whose every line goes is dropped by
@@ -25,12 +26,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import let, stage, table, words_of
 
 LEAST_WORDS, CELLS = 5, 1 << 20
 #: Jaccard of 0.8: an overlap o of sets of a and b words needs 9 o >= 4 (a + b).
 JACCARD = 0.8
+#: Lines of a word that may meet each other at once.
+FEW = 64
+#: Lines just before a line of a crowded word that it meets besides the earliest.
+LAST = 16
 #: Hashes sent to every executor at most; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -114,7 +120,7 @@ def _small(df: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, lines: DataFrame, text: str) -> DataFrame:
     """(later) of the pairs (earlier, later) whose words match."""
     wanted = pairs.select(F.col("earlier").alias("h")).union(pairs.select("later")).distinct()
-    wanted = stage(lines.join(wanted, "h", "left_semi").select(F.col("h").alias("wh"), F.col("doc_id").alias("wd")), "wanted")
+    wanted = stage(lines.join(_small(wanted), "h", "left_semi").select(F.col("h").alias("wh"), F.col("doc_id").alias("wd")), "wanted")
     rows = _lines(docs, text).join(_small(wanted), (F.col("h") == F.col("wh")) & F.col("doc_id").eqNullSafe(F.col("wd")), "left_semi")
     words = stage(rows.select("h", F.array_distinct(words_of(F.col("line"))).alias("words")), "words")
     both = pairs.join(words.toDF("earlier", "a"), "earlier").join(words.toDF("later", "b"), "later")
@@ -132,20 +138,28 @@ def matched_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     first = F.min(F.struct("doc_id", "at", "t.n", "t.bits", "t.more_bits", "t.prefix"))
     lines = stage(shaped.groupBy("h").agg(first.alias("f"), F.count("*").alias("docs")).select("h", "docs", "f.*").where("n is not null"), "lines")
 
-    dealt = _postings(lines).repartition("key")
-    least = dealt.groupBy("key").agg(F.count("*").alias("lines"), F.min(F.struct("doc_id", "at", "h", "n", "bits", "more_bits", "place")).alias("p")).where("lines > 1").select("key", "p")
-    shared = stage(dealt.join(least, "key"), "shared")
-
-    e = shared.select(F.struct("p.*").alias("e"), F.struct("doc_id", "at", "h", "n", "bits", "more_bits", "place").alias("l"))
-    pairs = stage(e.where(_earlier("e", "l") & _may_match("e", "l")).select(F.col("e.h").alias("earlier"), F.col("l.h").alias("later")).distinct(), "pairs")
+    ids = [F.col("e.h").alias("earlier"), F.col("l.h").alias("later")]
+    line = F.struct("doc_id", "at", "h", "n", "bits", "more_bits", "place")
+    # One shuffle by key: the earlier lines of each posting come from windows over it.
+    of_key = W.partitionBy("key")
+    in_order = of_key.orderBy("doc_id", "at", "h")
+    dealt = _postings(lines).withColumn("lines", F.count("*").over(of_key)).where("lines > 1")
+    dealt = dealt.withColumn("before", F.collect_list(line).over(in_order.rowsBetween(-FEW, -1)))  # FEW at most
+    dealt = dealt.withColumn("first", F.first(line).over(in_order.rowsBetween(W.unboundedPreceding, 0)))
+    crowded = F.col("lines") > FEW
+    met = dealt.select("key", "lines", line.alias("l"), F.explode(F.when(crowded, F.array_append(F.slice("before", F.greatest(F.lit(1), F.size("before") - LAST + 1), LAST), F.col("first"))).otherwise(F.col("before"))).alias("e"))
+    # Words with many lines come along as rows without a pair, at their first line.
+    own = crowded & (F.col("e.h") == F.col("l.h"))
+    met = met.where(own | (_earlier("e", "l") & _may_match("e", "l")))
+    met = stage(met.select(*(F.when(~own, c).alias(n) for c, n in zip(ids, ("earlier", "later"), strict=True)), F.when(own, F.col("key")).alias("key")).distinct(), "pairs")
+    pairs, many = met.where("key is null").drop("key"), met.where("key is not null").select("key")
     found = stage(_verified(pairs, docs, lines, text), "found")
 
     # Equal words in another order or spacing are near copies too; their hashes differ.
-    open_ = shared.join(found, "h", "left_anti").select("key", F.struct("doc_id", "at", "h", "n", "bits", "more_bits", "place").alias("l"))
-    every = shared.select("key", F.struct("doc_id", "at", "h", "n", "bits", "more_bits", "place").alias("e"))
-    met = open_.join(every, "key").where(_earlier("e", "l") & _may_match("e", "l"))
-    more = met.select(F.col("e.h").alias("earlier"), F.col("l.h").alias("later")).distinct()
-    more = stage(more.join(pairs, ["earlier", "later"], "left_anti"), "pairs")
+    every = _postings(lines).join(_small(many), "key", "left_semi")
+    open_ = every.join(_small(found), "h", "left_anti").select("key", line.alias("l"))
+    met = open_.join(every.select("key", line.alias("e")), "key").where(_earlier("e", "l") & _may_match("e", "l"))
+    more = stage(met.select(*ids).distinct().join(pairs, ["earlier", "later"], "left_anti"), "pairs")
     found = found.union(_verified(more, docs, lines, text))
     near = found.withColumn("near", F.lit(True))
     out = lines.select("h", "doc_id", "docs").join(near, "h", "left").withColumn("near", F.coalesce("near", F.lit(False)))
@@ -172,7 +186,13 @@ def without_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     lost = F.transform(F.coalesce(F.col("gone"), F.array().cast("array<string>")), lambda x: F.concat(F.lit(":"), x))
     left = F.transform(F.array_except(marked, lost), lambda x: F.substr(x, F.instr(x, ":") + 1))
     kept = F.when(F.col("gone").isNull() & (F.size(F.array_distinct(body)) == F.size(body)), body).otherwise(left)
-    out = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")), "left")
+    # Texts that lose nothing to others need not move to meet what they lose.
+    gone = stage(gone, "gone")
+    ids = _small(gone.select("gone_id"))
+    has = F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id"))
+    loses = docs.join(ids, has, "left_semi").join(gone, has, "left")
+    rest = docs.join(ids, has, "left_anti")
+    out = loses.union(rest.withColumns({"gone_id": F.lit(None).cast("long"), "gone": F.lit(None).cast("array<string>")}))
     blank = F.trim(F.translate(F.coalesce(F.col(text), F.lit("")), "\t\n\x0b\x0c\r", "     ")) == ""
     out = out.withColumn("was_blank", blank).withColumn("kept_lines", F.when(F.col(text).isNull(), None).otherwise(kept))
     out = out.withColumn("n_lines_gone", F.coalesce(F.size(body) - F.size("kept_lines"), F.lit(0)).cast("long"))
