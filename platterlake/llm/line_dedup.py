@@ -167,43 +167,43 @@ def matched_lines(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def removals(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(gone_id, gone): the lines that each document loses to other lines, if any."""
+    """(_lost_id, _lost): the lines that each document loses to other lines, if any."""
     bad = stage(matched_lines(docs, text), "matched")
     small = _small(bad.select(F.col("h").alias("bh"), F.col("doc_id").alias("first"), "near"))
     lost = _lines(docs, text).join(small, F.col("h") == F.col("bh")).where(F.col("near") | ~F.col("doc_id").eqNullSafe(F.col("first")))
-    return lost.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("line").alias("gone"))  # lines of one document
+    return lost.groupBy(F.col("doc_id").alias("_lost_id")).agg(F.collect_set("line").alias("_lost"))  # lines of one document
 
 
 def without_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with later matches removed from ``text``, and the columns n_lines_gone and
-    was_blank.  Lines that stay keep their order; those too short stay as often as they came."""
+    """``docs`` with later matches removed from ``text``, and the columns _lines_gone and
+    _was_blank.  Lines that stay keep their order; those too short stay as often as they came."""
     gone = removals(docs, text)
     body = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
 
     # A long line is marked alike wherever it stands, so array_except drops lines removed
     # and lines repeated in one linear pass; a short one is marked by its place and stays.
     marked = F.transform(body, lambda x, i: F.when(_counts(x), F.concat(F.lit(":"), x)).otherwise(F.concat(i.cast("string"), F.lit(":"), x)))
-    lost = F.transform(F.coalesce(F.col("gone"), F.array().cast("array<string>")), lambda x: F.concat(F.lit(":"), x))
+    lost = F.transform(F.coalesce(F.col("_lost"), F.array().cast("array<string>")), lambda x: F.concat(F.lit(":"), x))
     left = F.transform(F.array_except(marked, lost), lambda x: F.substr(x, F.instr(x, ":") + 1))
-    kept = F.when(F.col("gone").isNull() & (F.size(F.array_distinct(body)) == F.size(body)), body).otherwise(left)
+    kept = F.when(F.col("_lost").isNull() & (F.size(F.array_distinct(body)) == F.size(body)), body).otherwise(left)
     # Texts that lose nothing to others need not move to meet what they lose.
-    gone = stage(gone, "gone")
-    ids = _small(gone.select("gone_id"))
-    has = F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id"))
+    gone = stage(gone, "lost")
+    ids = _small(gone.select("_lost_id"))
+    has = F.col("doc_id").cast("long").eqNullSafe(F.col("_lost_id"))
     loses = docs.join(ids, has, "left_semi").join(gone, has, "left")
     rest = docs.join(ids, has, "left_anti")
-    out = loses.union(rest.withColumns({"gone_id": F.lit(None).cast("long"), "gone": F.lit(None).cast("array<string>")}))
+    out = loses.unionByName(rest, allowMissingColumns=True)
     blank = F.trim(F.translate(F.coalesce(F.col(text), F.lit("")), "\t\n\x0b\x0c\r", "     ")) == ""
-    out = out.withColumn("was_blank", blank).withColumn("kept_lines", F.when(F.col(text).isNull(), None).otherwise(kept))
-    out = out.withColumn("n_lines_gone", F.coalesce(F.size(body) - F.size("kept_lines"), F.lit(0)).cast("long"))
-    return out.withColumn(text, F.array_join("kept_lines", "\n")).drop("gone_id", "gone", "kept_lines")
+    out = out.withColumn("_was_blank", blank).withColumn("_kept", F.when(F.col(text).isNull(), None).otherwise(kept))
+    out = out.withColumn("_lines_gone", F.coalesce(F.size(body) - F.size("_kept"), F.lit(0)).cast("long"))
+    return out.withColumn(text, F.array_join("_kept", "\n")).drop("_lost_id", "_lost", "_kept")
 
 
 def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     """The columns of ``docs`` with later matches removed; documents left without a line go."""
     out = without_lines(docs, text)
     left = F.trim(F.translate(F.coalesce(F.col(text), F.lit("")), "\t\n\x0b\x0c\r", "     ")) != ""
-    return out.where(F.col("was_blank") | (F.col("n_lines_gone") == 0) | left).select(*docs.columns)
+    return out.where(F.col("_was_blank") | (F.col("_lines_gone") == 0) | left).select(*docs.columns)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,7 +212,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id",
         F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"),
-        "n_lines_gone",
+        F.col("_lines_gone").alias("n_lines_gone"),
         F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"),
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"),
     )

@@ -194,5 +194,5 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(df: DataFrame) -> DataFrame:
     """The rows of ``df`` without near-duplicates: of each component, the least doc_id stays
     (all rows that carry it; rows with a null id stay too, as nothing can name them)."""
-    out = cluster(df).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    return df.join(out, df["doc_id"] == F.col("gone"), "left_anti")
+    out = cluster(df).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct()
+    return df.join(out, df["doc_id"] == F.col("_gone_id"), "left_anti")
