@@ -70,8 +70,9 @@ def _counts(line: Column) -> Column:
 
 
 def _tokens(line: Column, cells: Column) -> Column:
-    """(n, bits, more_bits, prefix): words, bitmap of 128 bits and the rarest words' keys of a
-    line; null if it has too few words."""
+    """(n, bits, more_bits, prefix): words, 128 bits of parity and the rarest words' keys of a
+    line; null if it has too few words.  Parities of two lines differ in at most as many bits
+    as words stand in one line only, and long lines do not fill them up."""
 
     def key(cells: Column, h: Column) -> Column:
         level = F.ascii(F.substr(cells, F.pmod(h, F.lit(CELLS)).cast("int") + 1, F.lit(1)).cast("string"))
@@ -80,7 +81,7 @@ def _tokens(line: Column, cells: Column) -> Column:
     def bits(hashes: Column, half: int) -> Column:
         mine = lambda h: F.shiftrightunsigned(h, 30).bitwiseAND(F.lit(1)).bitwiseXOR(F.lit(half).cast("long"))
         place = lambda h: F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(63)).cast("int")
-        return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseOR(F.call_function("shiftleft", mine(h), place(h))))
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", mine(h), place(h))))
 
     def shaped(hashes: Column) -> Column:
         n = F.size(hashes)
@@ -92,16 +93,18 @@ def _tokens(line: Column, cells: Column) -> Column:
 
 
 def _postings(lines: DataFrame) -> DataFrame:
-    return lines.select("h", "doc_id", "at", "n", "bits", "more_bits", F.posexplode("prefix").alias("place", "key"))
+    rows = lines.select("h", "doc_id", "at", "n", "bits", "more_bits", "prefix", F.posexplode("prefix").alias("place", "key"))
+    return rows.withColumn("ahead", F.slice("prefix", 1, F.col("place"))).drop("prefix")
 
 
-def _may_match(a: str, b: str) -> Column:
-    """Length, place and bitmap filters of two postings with the same key."""
+def _may_match(a: str, b: str, before: Column | None = None) -> Column:
+    """Length, place and bitmap filters of two postings with the same key; ``before`` is the
+    most words that they can share ahead of it."""
     c = lambda t, x: F.col(f"{t}.{x}")
     total = c(a, "n") + c(b, "n")
     need = F.ceil(total * 4 / 9)
     length = 5 * F.least(c(a, "n"), c(b, "n")) >= 4 * F.greatest(c(a, "n"), c(b, "n"))
-    place = F.least(c(a, "n") - c(a, "place"), c(b, "n") - c(b, "place")) >= need - F.least(c(a, "place"), c(b, "place"))
+    place = F.least(c(a, "n") - c(a, "place"), c(b, "n") - c(b, "place")) >= need - (F.least(c(a, "place"), c(b, "place")) if before is None else before)
     bits = F.bit_count(c(a, "bits").bitwiseXOR(c(b, "bits"))) + F.bit_count(c(a, "more_bits").bitwiseXOR(c(b, "more_bits"))) <= total - 2 * need
     return length & place & bits
 
@@ -156,9 +159,13 @@ def matched_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     found = stage(_verified(pairs, docs, lines, text), "found")
 
     # Equal words in another order or spacing are near copies too; their hashes differ.
+    # A pair meets at the first word that both prefixes have and nowhere else: if that word
+    # is not crowded the pair has met already, and ahead of it they share nothing.
+    line = F.struct("doc_id", "at", "h", "n", "bits", "more_bits", "place", "ahead")
     every = _postings(lines).join(_small(many), "key", "left_semi")
     open_ = every.join(_small(found), "h", "left_anti").select("key", line.alias("l"))
-    met = open_.join(every.select("key", line.alias("e")), "key").where(_earlier("e", "l") & _may_match("e", "l"))
+    rare = _earlier("e", "l") & _may_match("e", "l", F.lit(0)) & ~F.arrays_overlap("e.ahead", "l.ahead")
+    met = open_.join(every.select("key", line.alias("e")), "key").where(rare)
     more = stage(met.select(*ids).distinct().join(pairs, ["earlier", "later"], "left_anti"), "pairs")
     found = found.union(_verified(more, docs, lines, text))
     near = found.withColumn("near", F.lit(True))
