@@ -41,12 +41,27 @@ def shared_dir(spark: SparkSession) -> str:
 _local: str | None = None
 
 
+#: Whether shuffle files are removed when the query that wrote them ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, at: str) -> None:
+    """Write ``df`` as Parquet; nothing but the result stays on the executors' disks."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEAN, None)
+    conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(at)
+    finally:
+        conf.unset(CLEAN) if before is None else conf.set(CLEAN, before)
+
+
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: the lineage is cut and a
-    lost executor costs only a reread."""
+    lost executor costs only a reread.  Shuffle files of the write go when it ends."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    write(df, at)
     out = spark.read.schema(df.schema).parquet(at)
     out._staged_at = at
     return out
