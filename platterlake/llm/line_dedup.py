@@ -24,6 +24,8 @@ its rows keep the lines it keeps; a document whose every line goes is dropped by
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -33,6 +35,8 @@ from .common import let, stage, table, words_of
 LEAST_WORDS, CELLS = 5, 1 << 20
 #: Jaccard of 0.8: an overlap o of sets of a and b words needs 9 o >= 4 (a + b).
 JACCARD = 0.8
+#: Level of a cell that counts one word: no other line has it.
+ONCE = 4
 #: Lines of a word that may meet each other at once.
 FEW = 64
 #: Lines just before a line of a crowded word that it meets besides the earliest.
@@ -42,14 +46,21 @@ BROADCAST_ROWS = 2_000_000
 
 
 def _cell(token: Column) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(CELLS))
+    return F.xxhash64(token).bitwiseAND(F.lit(CELLS - 1))
+
+
+def _words(text: Column, gaps: str = "\t\x0b\x0c\r") -> Column:
+    """The words of a line: white space is made blank, so no pattern has to be run."""
+    for gap in gaps:
+        text = F.replace(text, F.lit(gap), F.lit(" "))
+    return F.array_remove(F.split(text, " ", -1), "")
 
 
 def rarity(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row (cells): for each cell a byte, 1 to 126, that rises with the logarithm of
     its words' count over all documents.  CELLS bytes for any input."""
-    plain = F.translate(F.coalesce(F.col(text), F.lit("")), "\t\n\x0b\x0c\r", " " * 5)
-    counts = docs.select(F.explode(F.split(plain, " ", -1)).alias("token")).where("token <> ''").groupBy(_cell(F.col("token")).alias("cell")).agg(F.count("*").alias("n"))
+    words = _words(F.coalesce(F.col(text), F.lit("")), "\t\n\x0b\x0c\r")
+    counts = docs.select(F.explode(words).alias("token")).groupBy(_cell(F.col("token")).alias("cell")).agg(F.count("*").alias("n"))
     every = docs.sparkSession.range(CELLS).join(counts, F.col("id") == F.col("cell"), "left")
     level = F.least(F.lit(126), 1 + F.floor(3 * F.log2(1 + F.coalesce("n", F.lit(0)))))
     rows = every.select((F.col("id") / 1024).cast("int").alias("hi"), F.col("id"), F.chr(level).alias("c"))
@@ -75,38 +86,43 @@ def _tokens(line: Column, cells: Column) -> Column:
     as words stand in one line only, and long lines do not fill them up."""
 
     def key(cells: Column, h: Column) -> Column:
-        level = F.ascii(F.substr(cells, F.pmod(h, F.lit(CELLS)).cast("int") + 1, F.lit(1)).cast("string"))
+        level = F.ascii(F.substr(cells, h.bitwiseAND(F.lit(CELLS - 1)).cast("int") + 1, F.lit(1)).cast("string"))
         return F.shiftleft(level.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    def bits(hashes: Column, half: int) -> Column:
-        mine = lambda h: F.shiftrightunsigned(h, 30).bitwiseAND(F.lit(1)).bitwiseXOR(F.lit(half).cast("long"))
-        place = lambda h: F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(63)).cast("int")
-        return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", mine(h), place(h))))
+    # The sign picks the half, the last six bits the place in it.
+    def bits(hashes: Column, half: Callable[[Column], Column]) -> Column:
+        one = lambda h: F.shiftrightunsigned(half(h), 63)
+        place = lambda h: h.bitwiseAND(F.lit(63)).cast("int")
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", one(h), place(h))))
 
     def shaped(hashes: Column) -> Column:
         n = F.size(hashes)
         prefix = let(cells, lambda c: F.sort_array(F.transform(hashes, lambda h: key(c, h))))
-        found = F.struct(n.alias("n"), bits(hashes, 0).alias("bits"), bits(hashes, 1).alias("more_bits"), F.slice(prefix, 1, n - F.ceil(n * 8 / 10).cast("int") + 1).alias("prefix"))
+        found = F.struct(n.alias("n"), bits(hashes, lambda h: h).alias("bits"), bits(hashes, F.bitwise_not).alias("more_bits"), F.slice(prefix, 1, n - F.ceil(n * 8 / 10).cast("int") + 1).alias("prefix"))
         return F.when(n >= LEAST_WORDS, found)
 
-    return let(F.transform(F.array_distinct(words_of(line)), lambda w: F.xxhash64(w)), shaped)
+    return let(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), shaped)
 
 
 def _postings(lines: DataFrame) -> DataFrame:
-    rows = lines.select("h", "doc_id", "at", "n", "bits", "more_bits", "prefix", F.posexplode("prefix").alias("place", "key"))
-    return rows.withColumn("ahead", F.slice("prefix", 1, F.col("place"))).drop("prefix")
+    rows = lines.select("h", "doc_id", "at", "n", "bits", "more_bits", F.posexplode("prefix").alias("place", "key"))
+    return rows.where(F.shiftrightunsigned("key", 56) > ONCE)
+
+
+def _apart(a: str, b: str) -> Column:
+    """Parity bits in which two postings differ."""
+    bits = [F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in ("bits", "more_bits")]
+    return bits[0] + bits[1]
 
 
-def _may_match(a: str, b: str, before: Column | None = None) -> Column:
-    """Length, place and bitmap filters of two postings with the same key; ``before`` is the
-    most words that they can share ahead of it."""
+def _may_match(a: str, b: str) -> Column:
+    """Length, place and bitmap filters of two postings with the same key."""
     c = lambda t, x: F.col(f"{t}.{x}")
     total = c(a, "n") + c(b, "n")
     need = F.ceil(total * 4 / 9)
     length = 5 * F.least(c(a, "n"), c(b, "n")) >= 4 * F.greatest(c(a, "n"), c(b, "n"))
-    place = F.least(c(a, "n") - c(a, "place"), c(b, "n") - c(b, "place")) >= need - (F.least(c(a, "place"), c(b, "place")) if before is None else before)
-    bits = F.bit_count(c(a, "bits").bitwiseXOR(c(b, "bits"))) + F.bit_count(c(a, "more_bits").bitwiseXOR(c(b, "more_bits"))) <= total - 2 * need
-    return length & place & bits
+    place = F.least(c(a, "n") - c(a, "place"), c(b, "n") - c(b, "place")) >= need - F.least(c(a, "place"), c(b, "place"))
+    return length & place & (_apart(a, b) <= total - 2 * need)
 
 
 def _earlier(a: str, b: str) -> Column:
@@ -154,19 +170,19 @@ def matched_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     # Words with many lines come along as rows without a pair, at their first line.
     own = crowded & (F.col("e.h") == F.col("l.h"))
     met = met.where(own | (_earlier("e", "l") & _may_match("e", "l")))
-    met = stage(met.select(*(F.when(~own, c).alias(n) for c, n in zip(ids, ("earlier", "later"), strict=True)), F.when(own, F.col("key")).alias("key")).distinct(), "pairs")
+    met = stage(met.select(*(F.when(~own, c).alias(n) for c, n in zip([*ids, _apart("e", "l")], ("earlier", "later", "apart"), strict=True)), F.when(own, F.col("key")).alias("key")).distinct(), "pairs")
     pairs, many = met.where("key is null").drop("key"), met.where("key is not null").select("key")
-    found = stage(_verified(pairs, docs, lines, text), "found")
+    # One match is enough: each line tries the earlier one of nearest parities first.
+    best = stage(pairs.groupBy("later").agg(F.min(F.struct("apart", "earlier")).alias("best")).select("best.earlier", "later"), "best")
+    found = stage(_verified(best, docs, lines, text), "found")
+    pairs = pairs.select("earlier", "later")
 
     # Equal words in another order or spacing are near copies too; their hashes differ.
-    # A pair meets at the first word that both prefixes have and nowhere else: if that word
-    # is not crowded the pair has met already, and ahead of it they share nothing.
-    line = F.struct("doc_id", "at", "h", "n", "bits", "more_bits", "place", "ahead")
     every = _postings(lines).join(_small(many), "key", "left_semi")
     open_ = every.join(_small(found), "h", "left_anti").select("key", line.alias("l"))
-    rare = _earlier("e", "l") & _may_match("e", "l", F.lit(0)) & ~F.arrays_overlap("e.ahead", "l.ahead")
-    met = open_.join(every.select("key", line.alias("e")), "key").where(rare)
-    more = stage(met.select(*ids).distinct().join(pairs, ["earlier", "later"], "left_anti"), "pairs")
+    met = open_.join(every.select("key", line.alias("e")), "key").where(_earlier("e", "l") & _may_match("e", "l"))
+    rest = pairs.join(_small(found.withColumnRenamed("h", "later")), "later", "left_anti").unionByName(met.select(*ids)).distinct()
+    more = stage(rest.join(best, ["earlier", "later"], "left_anti"), "pairs")
     found = found.union(_verified(more, docs, lines, text))
     near = found.withColumn("near", F.lit(True))
     out = lines.select("h", "doc_id", "docs").join(near, "h", "left").withColumn("near", F.coalesce("near", F.lit(False)))
