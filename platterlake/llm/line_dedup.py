@@ -8,8 +8,9 @@ fewer than ``LEAST_WORDS`` different words are no evidence and stay.
 The join: equal lines are one row.  Words are ordered by rarity, from a table of word
 counts of fixed size (words share its cells by hash, which costs order, never a match).
 By the prefix filter, lines that match share one of their first ``n - ceil(0.8 n) + 1``
-words; length, place and a bitmap of the words bound what a pair can still share; what is
-left is verified on the words themselves.
+words; length, place and parity bits of the words bound what a pair can still share; what is
+left is verified on the words themselves, for each line first with the earlier one whose
+parities are nearest, then with the rest if that one does not match.
 
 No group of lines gives all its pairs.  Where a prefix word has up to ``FEW`` lines, each
 meets the earlier ones that pass every filter.  Where it has more, each first meets the
