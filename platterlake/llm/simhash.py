@@ -189,10 +189,3 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = cluster(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` without near-duplicates: of each component, the least doc_id stays
-    (all rows that carry it; rows with a null id stay too, as nothing can name them)."""
-    out = cluster(df).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return df.join(out, df["doc_id"] == F.col("_gone_id"), "left_anti")
