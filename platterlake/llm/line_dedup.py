@@ -3,7 +3,8 @@
 A line is its set of words.  Two lines match if the Jaccard similarity of their sets is
 ``JACCARD`` or more; equal lines do.  A line is removed if it matches any earlier one, in
 order of (doc_id, place in the text), whether or not that one is removed itself.  Lines of
-fewer than ``LEAST_WORDS`` different words are no evidence and stay.
+fewer than ``least`` different words are left alone: by default ``LEAST_WORDS``; the query and
+the pipeline give 1, so that only blank lines are.
 
 The join: equal lines are one row.  Words are ordered by rarity, from a table of word
 counts of fixed size (words share its cells by hash, which costs order, never a match).
@@ -77,13 +78,13 @@ def _lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumn("h", F.xxhash64("line"))
 
 
-def _counts(line: Column) -> Column:
-    return F.size(F.array_distinct(words_of(line))) >= LEAST_WORDS
+def _counts(line: Column, least: int) -> Column:
+    return F.size(F.array_distinct(words_of(line))) >= least
 
 
-def _tokens(line: Column, cells: Column) -> Column:
+def _tokens(line: Column, cells: Column, least: int) -> Column:
     """(n, bits, more_bits, prefix): words, 128 bits of parity and the rarest words' keys of a
-    line; null if it has too few words.  Parities of two lines differ in at most as many bits
+    line; null if it has under ``least`` words.  Parities of two lines differ in at most as many bits
     as words stand in one line only, and long lines do not fill them up."""
 
     def key(cells: Column, h: Column) -> Column:
@@ -100,7 +101,7 @@ def _tokens(line: Column, cells: Column) -> Column:
         n = F.size(hashes)
         prefix = let(cells, lambda c: F.sort_array(F.transform(hashes, lambda h: key(c, h))))
         found = F.struct(n.alias("n"), bits(hashes, lambda h: h).alias("bits"), bits(hashes, F.bitwise_not).alias("more_bits"), F.slice(prefix, 1, n - F.ceil(n * 8 / 10).cast("int") + 1).alias("prefix"))
-        return F.when(n >= LEAST_WORDS, found)
+        return F.when(n >= least, found)
 
     return let(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), shaped)
 
@@ -148,13 +149,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, lines: DataFrame, text: str) ->
     return both.where(share).select(F.col("later").alias("h")).distinct()
 
 
-def matched_lines(docs: DataFrame, text: str = "text") -> DataFrame:
+def matched_lines(docs: DataFrame, text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """(h, doc_id, docs, near): lines that have equal or earlier near copies.  doc_id is the
     first document of the line, docs how many have it, near whether an earlier line matches."""
     cells = stage(rarity(docs, text), "rarity").scalar()
     # The optimizer moves the one value of the subquery into its single use, so it is
     # sent with the tasks and never copied into rows.
-    shaped = _lines(docs, text).withColumn("cells", cells).select("doc_id", "at", "h", _tokens(F.col("line"), F.col("cells")).alias("t"))
+    shaped = _lines(docs, text).withColumn("cells", cells).select("doc_id", "at", "h", _tokens(F.col("line"), F.col("cells"), least).alias("t"))
     first = F.min(F.struct("doc_id", "at", "t.n", "t.bits", "t.more_bits", "t.prefix"))
     lines = stage(shaped.groupBy("h").agg(first.alias("f"), F.count("*").alias("docs")).select("h", "docs", "f.*").where("n is not null"), "lines")
 
@@ -190,23 +191,23 @@ def matched_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.where("near or docs > 1")
 
 
-def removals(docs: DataFrame, text: str = "text") -> DataFrame:
+def removals(docs: DataFrame, text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """(_lost_id, _lost): the lines that each document loses to other lines, if any."""
-    bad = stage(matched_lines(docs, text), "matched")
+    bad = stage(matched_lines(docs, text, least), "matched")
     small = _small(bad.select(F.col("h").alias("bh"), F.col("doc_id").alias("first"), "near"))
     lost = _lines(docs, text).join(small, F.col("h") == F.col("bh")).where(F.col("near") | ~F.col("doc_id").eqNullSafe(F.col("first")))
     return lost.groupBy(F.col("doc_id").alias("_lost_id")).agg(F.collect_set("line").alias("_lost"))  # lines of one document
 
 
-def without_lines(docs: DataFrame, text: str = "text") -> DataFrame:
+def without_lines(docs: DataFrame, text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with later matches removed from ``text``, and the columns _lines_gone and
-    _was_blank.  Lines that stay keep their order; those too short stay as often as they came."""
-    gone = removals(docs, text)
+    _was_blank.  Lines that stay keep their order; those under ``least`` words stay as often as they came."""
+    gone = removals(docs, text, least)
     body = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
 
-    # A long line is marked alike wherever it stands, so array_except drops lines removed
-    # and lines repeated in one linear pass; a short one is marked by its place and stays.
-    marked = F.transform(body, lambda x, i: F.when(_counts(x), F.concat(F.lit(":"), x)).otherwise(F.concat(i.cast("string"), F.lit(":"), x)))
+    # A line of enough words is marked alike wherever it stands, so array_except drops lines removed
+    # and lines repeated in one linear pass; another is marked by its place and stays.
+    marked = F.transform(body, lambda x, i: F.when(_counts(x, least), F.concat(F.lit(":"), x)).otherwise(F.concat(i.cast("string"), F.lit(":"), x)))
     lost = F.transform(F.coalesce(F.col("_lost"), F.array().cast("array<string>")), lambda x: F.concat(F.lit(":"), x))
     left = F.transform(F.array_except(marked, lost), lambda x: F.substr(x, F.instr(x, ":") + 1))
     kept = F.when(F.col("_lost").isNull() & (F.size(F.array_distinct(body)) == F.size(body)), body).otherwise(left)
@@ -223,16 +224,16 @@ def without_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn(text, F.array_join("_kept", "\n")).drop("_lost_id", "_lost", "_kept")
 
 
-def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """The columns of ``docs`` with later matches removed; documents left without a line go."""
-    out = without_lines(docs, text)
+    out = without_lines(docs, text, least)
     left = F.trim(F.translate(F.coalesce(F.col(text), F.lit("")), "\t\n\x0b\x0c\r", "     ")) != ""
     return out.where(F.col("_was_blank") | (F.col("_lines_gone") == 0) | left).select(*docs.columns)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What line deduplication leaves of every document."""
-    out = without_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = without_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), least=1)
     return out.select(
         "doc_id",
         F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"),
