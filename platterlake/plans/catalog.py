@@ -339,6 +339,41 @@ def checksum_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("item_id", C.dir_checksum(d).alias("check_byte"))
 
 
+# The four above read one padded sector of each text, as their SQL does; these read whole texts.
+_WHOLE = "(SELECT item_id, regexp_replace(text, '[^\\x20-\\x7e]', '?', 'g') AS t FROM benchmark)"
+_SECTORS = "(SELECT item_id, sector, encode(rpad(substr(t, CAST(sector * {n} + 1 AS INTEGER), {n}), {n}, '~')) AS d FROM (SELECT item_id, t, unnest(range(0, greatest(1, (length(t) + {n} - 1) // {n}))) AS sector FROM " + _WHOLE + "))"
+
+
+def _sectors(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """(item_id, sector, d): all of each benchmark text in sectors of ``n`` ASCII bytes, the last one padded."""
+    whole = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", r"[^\x20-\x7e]", "?").alias("t")).where("t is not null")
+    last = F.greatest(F.lit(0), F.floor((F.length("t") - 1) / n)).cast("long")
+    rows = whole.select("item_id", "t", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("sector"))
+    part = F.rpad(F.substr("t", (F.col("sector") * n + 1).cast("int"), F.lit(n)), n, "~")
+    return rows.select("item_id", "sector", F.encode(part, "UTF-8").alias("d"))
+
+
+@query(f"SELECT item_id, sector, list_reduce(list_prepend(0::BIGINT, list_slice({_BYTES}, 1, 511)), lambda s, b: CASE WHEN s + b > 255 THEN (s + b + 1) & 255 ELSE s + b END) & 255 AS check_byte FROM {_SECTORS.format(n=512)}")
+def checksum_boot_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sectors(spark, sf_dir, 512).select("item_id", "sector", C.boot_checksum(F.col("d")).alias("check_byte"))
+
+
+@query(f"SELECT item_id, sector, list_reduce(list_prepend(255::BIGINT, list_reverse(list_slice({_BYTES}, 1, 255))), lambda s, b: CASE WHEN s > 255 THEN (s + 1) & 255 ELSE s END + b) & 255 AS check_byte FROM {_SECTORS.format(n=256)}")
+def checksum_oldmap_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sectors(spark, sf_dir, 256).select("item_id", "sector", C.old_map_checksum(F.col("d")).alias("check_byte"))
+
+
+@query(_FOLD.replace("item_id", "item_id, sector").format(q=f"SELECT item_id, sector, (list_reduce(list_prepend(0::BIGINT, list_reverse({_WORDS})), lambda s, w: (s & 4294967295) + w + (s >> 32)) - ('0x' || substr(hex(d), 1, 2))::BIGINT) & 4294967295 AS s FROM {_SECTORS.format(n=512)}"))
+def checksum_zone_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sectors(spark, sf_dir, 512).select("item_id", "sector", C.zone_check(F.col("d")).alias("check_byte"))
+
+
+@query(_FOLD.format(q=f"SELECT item_id, list_reduce(list_prepend(0::BIGINT, list_concat({_WORDS}, list_slice({_BYTES}, octet_length(d) // 4 * 4 + 1, octet_length(d)))), lambda c, w: xor(w, ((c >> 13) + ((c & 8191) << 19)) & 4294967295)) AS s FROM (SELECT item_id, encode(t) AS d FROM {_WHOLE})"))
+def checksum_dir_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = F.encode(F.regexp_replace("text", r"[^\x20-\x7e]", "?"), "UTF-8")
+    return table(spark, sf_dir, "benchmark").select("item_id", C.dir_checksum(whole).alias("check_byte"))
+
+
 _CRC = """
 WITH t AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i::BIGINT, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc)
 """
