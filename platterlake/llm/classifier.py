@@ -5,12 +5,17 @@ strongest response to each filter is its feature.  Chunks start every ``CHUNK``
 overlap by ``WIDTH - STRIDE``, so they cover the whole text.  The mean and the maximum of
 the chunks' features feed one logistic unit.
 
-Training takes about ``SAMPLE`` labelled documents, by hash of their ids, of each at most
-``TRAIN_CHUNKS`` chunks evenly spread over the whole text; scoring takes every chunk.
+A window lies in its own text: those that would start in a text's padding and reach into
+the next text of a batch do not count, so a score depends on its text alone (to the
+rounding of single floats).
+
+Training takes every chunk of about ``SAMPLE`` labelled documents of about ``SAMPLE_BYTES``
+in all, by hash of their ids; a document is taken whole or not at all.
 
 Defined results: null and empty texts are one chunk of padding and get a score like any
 other; without two classes to learn from, every score is the share of label 1 (0.5 with
-no label at all); repeated rows get equal scores; labels without a text are not learnt.
+no label at all); repeated rows get equal scores; labels without a text are not learnt; a
+repeated label counts as often as it comes.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import about, remainder, table
 
 E, WIDTH, STRIDE, FILTERS, CHUNK = 4, 12, 4, 32, 512
-SAMPLE, TRAIN_CHUNKS, EPOCHS, BATCH, RATE, SEED = 4000, 64, 10, 64, 0.01, 7
+SAMPLE, SAMPLE_BYTES, EPOCHS, BATCH, RATE, SEED = 4000, 48 << 20, 10, 64, 0.01, 7
 THRESHOLD, FOLDS = 0.3, 5
 _PAD, _SPAN, _SLAB = 256, WIDTH // STRIDE, 1 << 20
 Params = dict[str, np.ndarray]
@@ -60,13 +65,28 @@ def responses(p: Params, data: np.ndarray) -> np.ndarray:
     return out.reshape(-1, CHUNK // STRIDE, FILTERS)
 
 
-def pooled(p: Params, data: np.ndarray) -> np.ndarray:
-    """(chunks, filters); a slab reaches one chunk into the next for the overlap."""
-    parts = []
+def strongest(p: Params, data: np.ndarray, last: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """(chunks, filters): the strongest response in each chunk and, if asked for, its position.
+    last: the chunks that end a text.  Their last windows would reach into the next text.  A
+    slab reaches one chunk into the next for the overlap."""
+    best, places = [], []
     for i in range(0, len(data), _SLAB):
-        part = data[i : i + _SLAB + CHUNK]
-        parts.append(responses(p, part)[: min(_SLAB, len(data) - i) // CHUNK].max(axis=1))
-    return np.maximum(np.concatenate(parts) + p["bias"], 0)
+        n = min(_SLAB, len(data) - i) // CHUNK
+        r = responses(p, data[i : i + _SLAB + CHUNK])[:n]
+        r[last[i // CHUNK : i // CHUNK + n], 1 - _SPAN :] = -np.inf
+        best.append(r.max(axis=1))
+        if where:
+            places.append(r.argmax(axis=1))
+    return np.concatenate(best), np.concatenate(places) if where else None
+
+
+def _joined(data: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts put end to end, their first chunks, and which chunks end a text."""
+    sizes = np.array([len(d) // CHUNK for d in data])
+    ends = np.cumsum(sizes)
+    last = np.zeros(ends[-1], bool)
+    last[ends - 1] = True
+    return np.concatenate(data), ends - sizes, last
 
 
 def _features(chunks: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -80,26 +100,18 @@ def score_texts(p: Params, texts: list[str | None]) -> np.ndarray:
         return np.empty(0)
     if "share" in p:
         return np.full(len(texts), float(p["share"]))
-    data = [padded(t) for t in texts]
-    starts = np.cumsum([0] + [len(d) // CHUNK for d in data[:-1]])
-    z = _features(pooled(p, np.concatenate(data)), starts) @ p["head"]
+    whole, starts, last = _joined([padded(t) for t in texts])
+    chunks = np.maximum(strongest(p, whole, last)[0] + p["bias"], 0)
+    z = _features(chunks, starts) @ p["head"]
     return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -40, 40)))
 
 
-def _spread(data: np.ndarray) -> np.ndarray:
-    """At most TRAIN_CHUNKS chunks evenly over the whole text, each with its overlap cut off."""
-    chunks = data.reshape(-1, CHUNK)
-    if len(chunks) <= TRAIN_CHUNKS:
-        return data
-    return chunks[np.linspace(0, len(chunks) - 1, TRAIN_CHUNKS).astype(int)].ravel()
-
-
 def train(texts: list[str | None], labels: np.ndarray) -> Params:
     """Gradient descent (Adam) on the cross entropy; deterministic for the same input."""
     y = np.asarray(labels, np.float32)
     if not len(y) or y.min() == y.max():
         return {"share": np.float64(y.mean() if len(y) else 0.5)}
-    p, rng, data = start(), np.random.default_rng(SEED), [_spread(padded(t)) for t in texts]
+    p, rng, data = start(), np.random.default_rng(SEED), [padded(t) for t in texts]
     p["head"][-1] = np.log(y.mean() / (1 - y.mean()))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     step = 0
@@ -117,20 +129,18 @@ def train(texts: list[str | None], labels: np.ndarray) -> Params:
 
 
 def _gradient(p: Params, data: list[np.ndarray], y: np.ndarray) -> Params:
-    whole = np.concatenate(data)
-    sizes = np.array([len(d) // CHUNK for d in data])
-    starts = np.cumsum(np.append(0, sizes[:-1]))
-    r = responses(p, whole)
-    best = r.argmax(axis=1)
-    chunks = np.maximum(np.take_along_axis(r, best[:, None], axis=1)[:, 0] + p["bias"], 0)
+    whole, starts, last = _joined(data)
+    sizes = np.diff(np.append(starts, len(last)))
+    peak, best = strongest(p, whole, last, where=True)
+    chunks = np.maximum(peak + p["bias"], 0)
     x = _features(chunks, starts)
     dz = ((1 / (1 + np.exp(-np.clip(x @ p["head"], -40, 40))) - y) / len(y)).astype(np.float32)
     dx = dz[:, None] * p["head"][None, :]
     doc = np.repeat(np.arange(len(sizes)), sizes)
     top = chunks == x[doc, FILTERS : 2 * FILTERS]
+    top = top / np.add.reduceat(top, starts, axis=0, dtype=np.float32)[doc]  # equal chunks share
     dchunk = (dx[doc, :FILTERS] / sizes[doc, None] + top * dx[doc, FILTERS : 2 * FILTERS]) * (chunks > 0)
     at = (np.arange(len(chunks))[:, None] * CHUNK + best * STRIDE)[:, :, None] + np.arange(WIDTH)
-    at = np.minimum(at, len(whole) - 1)
     ids = whole[at]  # chunks, filters, width
     window = p["emb"][ids].reshape(*ids.shape[:2], WIDTH * E)
     demb = np.zeros_like(p["emb"])
@@ -141,11 +151,18 @@ def _gradient(p: Params, data: list[np.ndarray], y: np.ndarray) -> Params:
     return {"head": (x.T @ dz).astype(np.float32), "bias": dchunk.sum(axis=0), "conv": np.einsum("cf,cfw->wf", dchunk, window, optimize=True), "emb": demb}
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[list, np.ndarray]:
-    """Texts and labels of about ``most`` labelled documents outside the held-out fold."""
+def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> tuple[list, np.ndarray]:
+    """Texts and labels of about ``most`` labelled documents, of about ``most_bytes`` in all,
+    outside the held-out fold."""
     held = remainder(F.col("doc_id"), FOLDS) == 0
     chosen = about(labels.where(F.col("quality").isin(0, 1) & ~held).select("doc_id", "quality"), "doc_id", most)
-    rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").limit(2 * most)  # a bound for repeated ids
+    if chosen.count() <= 4 * most:  # more only if few ids hold most labels
+        chosen = F.broadcast(chosen)
+    rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    share = min(1.0, 2 * most / max(1, n), most_bytes / max(1, size))
+    if share < 1:  # long texts or repeated ids: fewer documents, by hash of their ids and texts
+        rows = rows.where(F.pmod(F.xxhash64(F.lit("share"), "doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
     got = sorted(rows.select("doc_id", "quality", "text").collect(), key=lambda r: (r[0], r[1], r[2] or ""))
     return [r[2] for r in got], np.array([r[1] for r in got], np.float32)
 

@@ -186,6 +186,63 @@ def test_classifier_learns(spark, sf):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
 
 
+def test_classifier_equals_brute_force():
+    rng = np.random.default_rng(3)
+    p = {k: v + rng.normal(0, 0.1, v.shape).astype(np.float32) for k, v in classifier.start().items()}
+    texts = ["", None, "short", "x" * 512, "a longer text, é€ " * 200, "z" * 1020, "tail " * 101, "b" * 500]
+
+    def brute(t):
+        raw = list((t or "").encode())
+        data = raw + [256] * (-(-(len(raw) + classifier.WIDTH) // classifier.CHUNK) * classifier.CHUNK - len(raw))
+        chunks = []
+        for c in range(0, len(data), classifier.CHUNK):
+            windows = [data[i : i + classifier.WIDTH] for i in range(c, c + classifier.CHUNK, classifier.STRIDE)]
+            r = [p["emb"][w].astype(np.float64).ravel() @ p["conv"] for w in windows if len(w) == classifier.WIDTH]
+            chunks.append(np.maximum(np.max(r, axis=0) + p["bias"], 0))
+        z = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0), [1]]) @ p["head"]
+        return 1 / (1 + math.exp(-z))
+
+    want = [brute(t) for t in texts]
+    assert np.allclose(classifier.score_texts(p, texts), want, atol=1e-5)
+    for order in (texts[::-1], *([t] for t in texts)):  # alone or before any other text
+        assert np.allclose(classifier.score_texts(p, order), [want[texts.index(t)] for t in order], atol=1e-5)
+
+
+def test_classifier_gradient():
+    rng = np.random.default_rng(4)
+    p = {k: (v + rng.normal(0, 0.1, v.shape)).astype(np.float64) for k, v in classifier.start().items()}
+    texts, y = ["some words " * 90, "", "other text"], np.array([1.0, 0.0, 1.0])
+    data = [classifier.padded(t) for t in texts]
+
+    def loss(q):
+        s = classifier.score_texts(q, texts)
+        return -np.mean(y * np.log(s) + (1 - y) * np.log(1 - s))
+
+    found = classifier._gradient(p, data, y)
+    for k, at in (("head", (3,)), ("head", (-1,)), ("bias", (2,)), ("conv", (5, 2)), ("conv", (40, 7)), ("emb", (ord("w"), 1)), ("emb", (256, 2))):
+        step = np.zeros_like(p[k])
+        step[at] = 1e-5
+        numeric = (loss(p | {k: p[k] + step}) - loss(p | {k: p[k] - step})) / 2e-5
+        assert math.isclose(found[k][at], numeric, rel_tol=1e-3, abs_tol=1e-7)
+
+
+def test_classifier_scores_stand_alone(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    p = classifier.start()
+    p["head"] += np.random.default_rng(5).normal(0, 1, p["head"].shape).astype(np.float32)
+    one, many = ({r.doc_id: r.score for r in classifier.scores(docs.repartition(k), p).collect()} for k in (1, 13))
+    assert all(math.isclose(one[i], many[i], abs_tol=1e-5) for i in one)
+
+
+def test_classifier_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i % 40, "x" * 1000) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    assert len(classifier.sample(docs, labels, most_bytes=1 << 30)[0]) > 300
+    texts, y = classifier.sample(docs, labels, most_bytes=60_000)
+    assert len(texts) < 200 and len(texts) == len(y)
+    assert (texts, y.tolist()) == (lambda a: (a[0], a[1].tolist()))(classifier.sample(docs.repartition(7), labels, most_bytes=60_000))
+
+
 def test_templates():
     t = Template("{% for m in messages %}{% if loop.first %}<{% endif %}{% set n = m.text | upper ~ '!' %}{{ n }}{% if not loop.last %},{% else %}>{% endif %}{% endfor %}")
     assert t.render(messages=[{"text": "a"}, {"text": "b"}])[0] == "<A!,B!>"
