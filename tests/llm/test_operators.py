@@ -14,6 +14,7 @@ import pytest
 import xxhash
 
 from platterlake.llm import chat, classifier, decontamination, line_dedup, lm, mixing, pii, quality_rules, simhash, token_counts
+from platterlake.llm.common import stage
 from platterlake.llm.graph import components
 from platterlake.llm.templates import Template, TemplateError, parse
 
@@ -276,6 +277,41 @@ def test_mixing_sql_and_bounds(spark, sf):
     assert all(r.taken <= 2 * r["size"] for r in got)
 
 
+def test_mixing_odds_are_those_of_the_sample(spark, monkeypatch):
+    """One draw from 400 sources alike in sizes, each with random numbers of its own."""
+    rnd, runs = random.Random(9), 400
+    made = [int(rnd.lognormvariate(4, 1.2)) + 1 for _ in range(60)] + [5000]
+    rows = [(i if i % 3 else None, f"{s:03}", n, f"{s} {i}") for s in range(runs) for i, n in enumerate(made)]
+    rows += [(7, f"{s:03}", 50, "same") for s in range(runs) for _ in range(3)]
+    monkeypatch.setattr(mixing, "WEIGHTS", (1,))
+    monkeypatch.setattr(mixing, "SHARE_PERCENT", 70)
+    df = stage(spark.createDataFrame(rows, "doc_id long, source string, size long, digest string"), "mixed")
+    got, odds, words = Counter(), {}, Counter()
+    for r in mixing.mix(df).collect():
+        got[r["size"]] += r.copies
+        odds[r["size"]] = r.odds
+        words[r.source] += r.taken
+        target = r.target
+    alike = Counter(made + [50] * 3)
+    assert math.isclose(sum(odds[n] * n * k for n, k in alike.items()), target, rel_tol=1e-9)
+    assert odds[5000] == 1 and got[5000] == runs  # certain
+    for n, k in alike.items():  # within four standard errors, and what the end of a draw may take more or less
+        assert abs(got[n] - runs * k * odds[n]) <= 4 * math.sqrt(runs * k * odds[n] * (1 - odds[n])) + 0.04 * runs * k * odds[n], (n, got[n], runs * k * odds[n])
+    assert all(abs(w - target) <= max(n for n in made if n < 5000) for w in words.values())
+
+
+def test_mixing_hard_rows_equal_sql(spark):
+    rows = [(1, None, "a"), (1, "x y", "a"), (1, "x y", "a"), (None, "x y", "a"), (None, "x y", "a"), (None, "z " * 30, "a"), (2, "", None), (3, "w " * 9, None), (4, "v " * 70, "b"), (5, "u " * 3, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    con, documents = duckdb.connect(), df.toPandas()  # noqa: F841
+    documents["doc_id"] = documents["doc_id"].astype("Int64")
+    want = con.sql(mixing.OP6_SQL)
+    got = mixing.mix(mixing.sizes(df)).select(*want.columns).collect()
+    key = lambda t: tuple((x is None, x or 0) for x in t)
+    assert sorted(map(tuple, got), key=key) == sorted(want.fetchall(), key=key)
+    assert mixing.mix(mixing.sizes(df.limit(0))).count() == 0
+
+
 def test_lm_base_and_normalisation(spark, sf):
     rows = {r.doc_id: lm.tokens(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in rows}
