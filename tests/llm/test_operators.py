@@ -355,6 +355,41 @@ def test_decontamination_recall(spark, sf):
     assert decontamination.lcs(list("abcbdab"), list("bdcaba")) == 4
 
 
+def test_decontamination_gives_every_row_once(spark, sf, monkeypatch):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").limit(12).collect()]
+    items += [(items[0][0], items[0][1] + " and more"), (900, "tiny item"), (901, None), (None, "no id at all here")]
+    clean = "words that no item has " * 20
+    docs = [(1, f"{clean}{items[0][1]}"), (1, clean), (None, clean), (None, f"{items[3][1]} {clean}"), (2, None), (2, ""), (3, f"x {items[5][1]} {items[7][1]}"), (3, f"x {items[5][1]} {items[7][1]}"), (4, "a tiny item")]
+    df = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, row string, hits int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    want = sorted(((r.doc_id, [h.item_id for h in r.hits]) for r in decontamination.contaminated(df, bench).collect()), key=key)
+    held = lambda *at: sorted(items[i][0] for i in at)
+    assert want == sorted([(1, held(0)), (1, []), (None, []), (None, held(3)), (2, []), (2, []), (3, held(5, 7)), (3, held(5, 7)), (4, [900])], key=key)
+    left = decontamination.clean_documents(df, bench)
+    assert left.columns == df.columns and sorted(map(str, left.select("doc_id").collect())) == ["Row(doc_id=1)", "Row(doc_id=2)", "Row(doc_id=2)", "Row(doc_id=None)"]
+    assert decontamination.clean_documents(df.limit(0), bench).count() == 0 and decontamination.clean_documents(df, bench.limit(0)).count() == len(docs)
+    monkeypatch.setattr(decontamination, "ITEMS", 5)
+    got = decontamination.contaminated(df, bench).collect()
+    assert sorted(((r.doc_id, [h.item_id for h in r.hits]) for r in got), key=key) == want
+    assert decontamination.clean_documents(df, bench).count() == 4
+
+
+def test_latent_space_is_a_truncated_svd(spark):
+    rnd, n = np.random.default_rng(6), 40
+    texts = [" ".join(f"t{k}" for k in (n * rnd.random(60) ** 2).astype(int)) for _ in range(80)]
+    terms, idf = {f"t{k}".encode(): k for k in range(n)}, 1 + rnd.random(n)
+    rows = []
+    for t in texts:  # whole blocks only
+        w = [terms[x] for x in decontamination.words(t)]
+        a = np.bincount(w, minlength=n) * idf
+        rows.append(a / np.sqrt((idf[w] ** 2).sum()))
+    values = np.linalg.svd(np.array(rows), compute_uv=False)
+    base, got = decontamination.latent_space(spark.createDataFrame([(t, 1.0) for t in texts], "text string, weight double"), terms, idf, rank=12)
+    assert base.shape == (n, 12) and np.allclose(base.T @ base, np.eye(12), atol=1e-4)
+    assert np.allclose(got, values[:12], rtol=0.05)
+
+
 def test_token_counts_equal_library(spark, sf):
     import sentencepiece
 
