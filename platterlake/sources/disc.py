@@ -25,7 +25,7 @@ from .rescue import Ranges
 REPORT = "filesystem string, map_type string, dir_type string, disc_name string, disc_id long, disc_size long, sector_size long, boot_option int, root_title string, boot_block_present boolean, boot_block_checksum_ok boolean, zone_checksum_ok_count int, zone_checksum_total int, cross_check_ok boolean, root_check_byte_ok boolean, broken_directories array<string>, directory_warnings array<string>"
 SCHEMAS = {
     "volumes": "path string, volume_ord int, label string, backend string, status string, error string",
-    "reports": f"path string, partition string, {REPORT}",
+    "reports": f"path string, partition string, {REPORT}, status string, error string",
     "directories": "path string, partition string, dir_path string, depth int, visit_ord int, title string, is_broken boolean, anomalies array<string>, warnings array<string>, status string",
     "objects": "path string, partition string, dir_path string, entry_ord int, object_path string, name string, name_bytes binary, load long, exec long, length long, attrs long, is_directory boolean, sin long, filetype int, modified_unix_secs long, host_leaf string, host_leaf_substituted boolean",
     "extents": "path string, partition string, object_path string, entry_ord int, ord int, disc_addr long, len long",
@@ -33,7 +33,9 @@ SCHEMAS = {
     "fragments": "path string, partition string, fragment_id long, ord int, disc_addr long, len long",
     "content": "path string, partition string, object_path string, host_path string, bytes binary, written long, crc32 long, modified_unix_secs long, inf string",
     "diagnostics": "path string, partition string, seq int, severity string, code string, message string, obj_path string",
-    "verify": "path string, partition string, directories long, files long, unreadable long",
+    "folders": "path string, partition string, host_path string",
+    "verify": "path string, partition string, directories long, files long, unreadable long, status string, error string",
+    "failures": "path string, partition string, task string, error string",
     "extract_log": "path string, partition string, seq int, kind string, obj_path string, line string",
     "extract_summary": "path string, partition string, files_extracted long, files_skipped long, dirs_created long, total_bytes long, status string, error string",
 }
@@ -140,7 +142,7 @@ class BrokenDirectory(Exception):
 
 
 def extract(v: Volume, options: Options) -> Iterator[tuple[str, dict]]:
-    """("file" | "log" | "summary", row) of a volume, in order of the walk."""
+    """("dir" | "file" | "log" | "summary", row) of a volume, in order of the walk."""
     ranges = Ranges.parse(options.rescue_map) if options.rescue_map is not None else None
     total = {"files_extracted": 0, "files_skipped": 0, "dirs_created": 0, "total_bytes": 0}
     log = lambda kind, path, line: ("log", {"kind": kind, "obj_path": path, "line": line})
@@ -150,6 +152,8 @@ def extract(v: Volume, options: Options) -> Iterator[tuple[str, dict]]:
             yield log("warning", None, f"warning    directory cycle detected at {x.path}, skipping")
             continue
         total["dirs_created"] += 1
+        if not options.dry_run:
+            yield "dir", {"host_path": host[x.path]}
         for w in x.listing.warnings:
             yield log("warning", None, f"warning    {x.path}: {w}")
         if x.listing.broken:
@@ -201,47 +205,63 @@ def _filler(n: int, policy: str) -> bytes:
 
 
 def _rows(path: str, data: bytes, what: str, options: Options) -> Iterator[dict]:
+    """The rows of one table.  A volume that fails once it is open leaves the others alone: it
+    is a row of ``failures``, and of the tables that have an error column."""
     volumes = [(k, label, v) for k, (label, v) in enumerate(open_volumes(data)) if options.partition in (None, label)]
     for k, label, v in volumes:
         own = {"path": path, "partition": label}
         if what == "volumes":
             yield {"path": path, "volume_ord": k, "label": label, "backend": type(v).__name__, "status": "ok"}
-        elif what == "zones":
+        elif what == "failures":
+            for task in ("reports", "verify", "extract_summary", "zones", "fragments"):
+                last = None
+                for last in _volume_rows(own, v, task, options, len(data), False):
+                    pass
+                if last and last.get("status") == "error":
+                    yield own | {"task": task, "error": last["error"]}
+        else:
+            yield from _volume_rows(own, v, what, options, len(data), len(volumes) > 1)
+
+
+def _volume_rows(own: dict, v: Volume, what: str, options: Options, size: int, several: bool) -> Iterator[dict]:
+    try:
+        if what == "zones":
             zones = v.map.ok if isinstance(v, FileCore) and v.map else []
             yield from ({**own, "zone": z, "check_ok": ok} for z, ok in enumerate(zones))
         elif what == "fragments":
             runs = v.map.runs if isinstance(v, FileCore) and v.map else {}
             yield from ({**own, "fragment_id": f, "ord": i, "disc_addr": a, "len": n} for f, rs in runs.items() for i, (a, n) in enumerate(rs))
-        elif what in ("content", "extract_log", "extract_summary"):
-            yield from _extracted(own, v, what, options, len(volumes) > 1)
+        elif what in ("content", "folders", "extract_log", "extract_summary"):
+            yield from _extracted(own, v, what, options, several)
         else:
-            yield from _walked(own, v, what, len(data))
+            yield from _walked(own, v, what, size)
+    except Exception as e:
+        if "error" in SCHEMAS[what]:
+            why = str(e) if isinstance(e, BrokenDirectory) else f"{type(e).__name__}: {e}"
+            yield own | {"status": "error", "error": why}
 
 
 def _extracted(own: dict, v: Volume, what: str, options: Options, several: bool) -> Iterator[dict]:
     seq = 0
-    try:
-        for kind, row in extract(v, options):
-            if kind == "file" and what == "content":
-                yield own | row | ({"host_path": f"{own['partition']}/{row['host_path']}"} if several else {})
-            elif kind == "log" and what == "extract_log":
-                yield {**own, "seq": seq, **row}
-                seq += 1
-            elif kind == "summary" and what == "extract_summary":
-                yield own | row | {"status": "ok"}
-    except BrokenDirectory as e:
-        if what == "extract_summary":
-            yield own | {"status": "error", "error": str(e)}
+    inside = lambda at: f"{own['partition']}/{at}".rstrip("/") if several else at
+    for kind, row in extract(v, options):
+        if kind == "file" and what == "content" or kind == "dir" and what == "folders":
+            yield own | row | {"host_path": inside(row["host_path"])}
+        elif kind == "log" and what == "extract_log":
+            yield {**own, "seq": seq, **row}
+            seq += 1
+        elif kind == "summary" and what == "extract_summary":
+            yield own | row | {"status": "ok"}
 
 
 def _walked(own: dict, v: Volume, what: str, size: int) -> Iterator[dict]:
     visits = list(walk(v))
     if what == "reports":
-        yield own | _report(v, visits, size)
+        yield own | _report(v, visits, size) | {"status": "ok"}
     elif what in ("diagnostics", "verify"):
         found, count = _diagnose(v, visits)
         if what == "verify":
-            yield own | count
+            yield own | count | {"status": "ok"}
         else:
             yield from ({**own, "seq": i, "severity": FAULTS[c], "code": c, "message": m, "obj_path": p} for i, (c, m, p) in enumerate(found))
     for ord_, x in enumerate(visits):
