@@ -126,6 +126,12 @@ def encode_load(kind: Column, centis: Column) -> Column:
     return long(0xFFF00000) + F.shiftleft(kind.cast("long"), 8) + F.shiftright(centis, 32)
 
 
+def iso_8601(seconds: Column) -> Column:
+    """Seconds since 1970 as text, in UTC whatever the session's zone."""
+    utc = F.to_utc_timestamp(F.timestamp_seconds(seconds), F.current_timezone())
+    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def packed_date(date: Column) -> Column:
     """A 16-bit file-server date; null where no such day exists."""
     low, high = date.bitwiseAND(F.lit(255)), F.shiftright(date, 8).bitwiseAND(F.lit(255))

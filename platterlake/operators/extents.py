@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .ranges import WIDTH, previous, running_sum
 
 Order = str | list[str]
 
@@ -29,11 +30,12 @@ def trim(df: DataFrame, keys: list[str], order: Order, start: str, length: str,
     return out.withColumn(start, F.col(start) + F.col("_cut")).withColumn(length, F.col(length) - F.col("_cut")).drop("_cut").where(F.col(length) > 0)
 
 
-def merge_adjacent(df: DataFrame, keys: list[str], order: str, start: str, length: str) -> DataFrame:
-    """(keys, ord, start, length) with extents joined where one ends as the next starts."""
-    w = W.partitionBy(*keys).orderBy(order)
-    new = F.when(F.lag(F.col(start) + F.col(length)).over(w) == F.col(start), 0).otherwise(1)
-    runs = df.withColumn("_new", new).withColumn("ord", F.sum("_new").over(w))
+def merge_adjacent(df: DataFrame, keys: list[str], order: str, start: str, length: str, width: int = WIDTH) -> DataFrame:
+    """(keys, ord, start, length) with extents joined where one ends as the next starts.
+    ``order`` is a whole number without ties in a list."""
+    x = previous(df.select(*keys, order, start, length), keys, order, F.col(start) + F.col(length), "before", width)
+    x = x.withColumn("new", F.when(F.col("before") == F.col(start), 0).otherwise(1))
+    runs = running_sum(x, keys, order, "new", "ord", width).withColumn("ord", F.col("ord") + F.col("new"))
     return runs.groupBy(*keys, "ord").agg(F.min(start).alias(start), F.sum(length).cast("long").alias(length))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +10,12 @@ from pyspark.sql import Window as W
 
 from ..functions import columns as C
 from ..operators import extents as X
+from ..operators import volumes as V
+from ..operators.ranges import previous, running_sum
 from ..operators.trees import walk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,17 +33,6 @@ def query(sql: str) -> Callable:
     return put
 
 
-def same(name: str, sql: str) -> None:
-    """Register SQL that both engines read; ``//`` is whole division."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        names = [t for t in _TABLES if re.search(rf"\b{t}\b", sql)]
-        text = re.sub(rf"\b(FROM|JOIN) ({'|'.join(_TABLES)})\b", r"\1 {\2}", sql).replace("//", "div").replace("VARCHAR", "STRING")
-        return spark.sql(text, **{t: table(spark, sf_dir, t) for t in names})
-
-    QUERIES[name], ORACLE_SQL[name] = run, sql
-
-
 # --- walks -------------------------------------------------------------------------
 
 
@@ -69,10 +58,14 @@ def tree_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]).select("path", "depth")
 
 
-same("visited_first_wins", """
+@query("""
 SELECT doc_id, first_id, doc_id <> first_id AS revisited
 FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(coalesce(text, ''))) AS first_id FROM documents) d
 """)
+def visited_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directories of one fingerprint: the first is walked, the others are revisits."""
+    docs = table(spark, sf_dir, "documents")
+    return V.first_visits(docs, "doc_id", F.md5(F.coalesce("text", F.lit(""))))
 
 
 @query("""
@@ -82,47 +75,69 @@ WITH RECURSIVE w AS (
 SELECT conv_id, CAST(max(hops) AS BIGINT) AS reached, max(turn) AS last_turn FROM w GROUP BY conv_id
 """)
 def linked_list_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far each chain of turns is linked from its head: up to the first missing one.  The
-    link is to the next number, so a chain is an island of consecutive turns."""
-    c = table(spark, sf_dir, "conversations").where("turn >= 0").select("conv_id", "turn")
-    w = W.partitionBy("conv_id").orderBy("turn")
-    c = c.withColumn("at", F.row_number().over(w) - 1).where("turn = at")
-    return c.groupBy("conv_id").agg(F.count("*").alias("reached"), F.max("turn").alias("last_turn"))
+    """How far each chain of turns is linked from its head: up to the first missing one."""
+    return V.chain_lengths(table(spark, sf_dir, "conversations"), "conv_id", "turn").withColumnRenamed("last", "last_turn")
 
 
 # --- counts and reports ------------------------------------------------------------
 
-same("verify_counts", """
+@query("""
 SELECT source, lang, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS bytes FROM documents GROUP BY ROLLUP (source, lang)
 """)
+def verify_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each part, of each volume and of all."""
+    return V.totals(table(spark, sf_dir, "documents"), ["source", "lang"], "n_chars")
 
-same("majority_vote", """
+@query("""
 SELECT d.source, count(*) AS entries, CAST(sum(CASE WHEN l.quality = 0 THEN 1 ELSE 0 END) AS BIGINT) AS bad,
   2 * sum(CASE WHEN l.quality = 0 THEN 1 ELSE 0 END) <= count(*) AS plausible
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.source
 """)
+def majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogues stand unless most entries are bad."""
+    entries = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return V.plausible(entries, ["source"], F.col("quality") == 0)
 
-same("cross_check_xor", """
+@query("""
 SELECT l_returnflag, l_linestatus, bit_xor(l_orderkey * 8 + l_linenumber) AS cross_check, count(*) AS zones,
   bit_xor((l_orderkey * 8 + l_linenumber) & 255) = 255 AS ok
 FROM lineitem GROUP BY l_returnflag, l_linestatus
 """)
+def cross_check_xor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zones = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("byte"))
+    return V.cross_checks(zones, ["l_returnflag", "l_linestatus"], "byte")
 
-same("zone_check_counts", """
+@query("""
 SELECT o_orderpriority AS volume, CAST(sum(CASE WHEN o_orderstatus <> 'P' THEN 1 ELSE 0 END) AS BIGINT) AS zones_ok, count(*) AS zones,
   min(CASE WHEN o_orderstatus <> 'P' THEN 1 ELSE 0 END) = 1 AS all_ok
 FROM orders GROUP BY o_orderpriority
 """)
+def zone_check_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zones = table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "volume")
+    return V.zone_counts(zones, ["volume"], F.col("o_orderstatus") != "P")
 
-same("disc_report", """
+@query("""
 SELECT 'FileCore' AS filesystem, d.source AS disc_name, count(*) AS files, CAST(sum(d.n_chars) AS BIGINT) AS disc_size,
   CAST(sum(CASE WHEN l.quality = 1 THEN 1 END) AS BIGINT) AS checks_ok, CAST(sum(CASE WHEN l.quality IS NOT NULL THEN 1 END) AS BIGINT) AS checks,
   coalesce(max(l.toxic), 0) = 0 AS root_ok,
   'Filesystem:      FileCore' || chr(10) || 'Disc name:       ' || d.source || chr(10) || 'Disc size:       ' || CAST(CAST(sum(d.n_chars) AS BIGINT) AS VARCHAR) || ' bytes' AS text
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.source
 """)
+def disc_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of volumes, as columns and as text."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    sums = docs.groupBy(F.col("source").alias("disc_name")).agg(
+        F.count("*").alias("files"),
+        F.sum("n_chars").cast("long").alias("disc_size"),
+        F.sum(F.when(F.col("quality") == 1, 1)).alias("checks_ok"),
+        F.sum(F.when(F.col("quality").isNotNull(), 1)).alias("checks"),
+        (F.coalesce(F.max("toxic"), F.lit(0)) == 0).alias("root_ok"),
+    )
+    kind = F.lit("FileCore")
+    text = V.report_lines(filesystem=kind, disc_name=F.col("disc_name"), disc_size=F.concat_ws(" ", F.col("disc_size").cast("string"), F.lit("bytes")))
+    return sums.select(kind.alias("filesystem"), "*", text.alias("text"))
 
-same("geometry_mismatch", """
+@query("""
 SELECT a.l_orderkey AS image, f.field,
   CASE f.field WHEN 'quantity' THEN CAST(CAST(a.l_quantity AS BIGINT) AS VARCHAR) WHEN 'flag' THEN a.l_returnflag ELSE a.l_linestatus END AS boot,
   CASE f.field WHEN 'quantity' THEN CAST(CAST(b.l_quantity AS BIGINT) AS VARCHAR) WHEN 'flag' THEN b.l_returnflag ELSE b.l_linestatus END AS zone0
@@ -130,6 +145,13 @@ FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumbe
 JOIN (VALUES ('quantity'), ('flag'), ('status')) AS f(field) ON
   CASE f.field WHEN 'quantity' THEN a.l_quantity <> b.l_quantity WHEN 'flag' THEN a.l_returnflag <> b.l_returnflag ELSE a.l_linestatus <> b.l_linestatus END
 """)
+def geometry_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields in which the two records of a disc, its first two lines, differ."""
+    li = table(spark, sf_dir, "lineitem")
+    a, b = li.where("l_linenumber = 1").alias("a"), li.where("l_linenumber = 2").alias("b")
+    both = a.join(b, F.col("a.l_orderkey") == F.col("b.l_orderkey"))
+    of = lambda c, kind="string": (F.col(f"a.{c}").cast(kind), F.col(f"b.{c}").cast(kind))
+    return V.mismatches(both, F.col("a.l_orderkey"), {"quantity": of("l_quantity", "long"), "flag": of("l_returnflag"), "status": of("l_linestatus")})
 
 #: Codes of faults and their severities: fixed values of the reports.
 FAULTS = {
@@ -180,9 +202,13 @@ def chunked_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.chunks(docs, F.col("size"), 256).select("doc_id", "at", "n")
 
 
-same("layout_prefix_sum", """
+@query("""
 SELECT source, doc_id, CAST(coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS base FROM documents
 """)
+def layout_prefix_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document starts if those of a source are laid end to end."""
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
+    return running_sum(docs, ["source"], "doc_id", "n_chars", "base").select("source", "doc_id", "base")
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,8 +285,8 @@ seg AS (SELECT source, id, f AS seg_start, lo - f AS seg_length, 'good' AS statu
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents laid end to end by source as files; toxic ones, moved on by 100, as bad ranges."""
     docs = table(spark, sf_dir, "documents")
-    before = F.sum("n_chars").over(W.partitionBy("source").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1))
-    runs = docs.select("source", F.col("doc_id").alias("id"), F.coalesce(before, F.lit(0)).cast("long").alias("start"), F.col("n_chars").alias("length"))
+    runs = running_sum(docs.select("source", "doc_id", "n_chars"), ["source"], "doc_id", "n_chars", "start")
+    runs = runs.select("source", F.col("doc_id").alias("id"), "start", F.col("n_chars").alias("length"))
     toxic = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id")).distinct()
     bad = runs.join(toxic, "id").select("source", (F.col("start") + 100).alias("start"), "length")
     return X.segments(runs, bad, "source", 1 << 16)
@@ -295,11 +321,16 @@ def fragment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(f, F.col("sin") == F.col("l_partkey"), "left").select("sin", "extents", F.coalesce("n", F.lit(0)).alias("fragments"), F.col("n").isNull().alias("missing"))
 
 
-same("backup_fallback", """
+@query("""
 SELECT p.o_orderkey AS zone, CASE WHEN p.o_orderstatus <> 'P' THEN 'primary' WHEN b.l_linestatus = 'F' THEN 'backup' ELSE 'primary' END AS used,
   p.o_orderstatus <> 'P' OR coalesce(b.l_linestatus = 'F', FALSE) AS ok
 FROM orders p LEFT JOIN (SELECT l_orderkey, l_linestatus FROM lineitem WHERE l_linenumber = 1) b ON p.o_orderkey = b.l_orderkey
 """)
+def backup_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones, and which of their two copies serves."""
+    backup = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", (F.col("l_linestatus") == "F").alias("good"))
+    zones = table(spark, sf_dir, "orders").join(backup, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return zones.select(F.col("o_orderkey").alias("zone"), V.chosen_copy(F.col("o_orderstatus") != "P", F.col("good")).alias("c")).select("zone", "c.*")
 
 # --- checksums ---------------------------------------------------------------------
 
@@ -341,10 +372,10 @@ def checksum_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The four above read one padded sector of each text, as their SQL does; these read whole texts.
 _WHOLE = "(SELECT item_id, regexp_replace(text, '[^\\x20-\\x7e]', '?', 'g') AS t FROM benchmark)"
-_SECTORS = "(SELECT item_id, sector, encode(rpad(substr(t, CAST(sector * {n} + 1 AS INTEGER), {n}), {n}, '~')) AS d FROM (SELECT item_id, t, unnest(range(0, greatest(1, (length(t) + {n} - 1) // {n}))) AS sector FROM " + _WHOLE + "))"
+_WHOLE_SECTORS = "(SELECT item_id, sector, encode(rpad(substr(t, CAST(sector * {n} + 1 AS INTEGER), {n}), {n}, '~')) AS d FROM (SELECT item_id, t, unnest(range(0, greatest(1, (length(t) + {n} - 1) // {n}))) AS sector FROM " + _WHOLE + "))"
 
 
-def _sectors(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+def _whole_sectors(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     """(item_id, sector, d): all of each benchmark text in sectors of ``n`` ASCII bytes, the last one padded."""
     whole = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", r"[^\x20-\x7e]", "?").alias("t")).where("t is not null")
     last = F.greatest(F.lit(0), F.floor((F.length("t") - 1) / n)).cast("long")
@@ -353,19 +384,19 @@ def _sectors(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     return rows.select("item_id", "sector", F.encode(part, "UTF-8").alias("d"))
 
 
-@query(f"SELECT item_id, sector, list_reduce(list_prepend(0::BIGINT, list_slice({_BYTES}, 1, 511)), lambda s, b: CASE WHEN s + b > 255 THEN (s + b + 1) & 255 ELSE s + b END) & 255 AS check_byte FROM {_SECTORS.format(n=512)}")
-def checksum_boot_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sectors(spark, sf_dir, 512).select("item_id", "sector", C.boot_checksum(F.col("d")).alias("check_byte"))
+@query(f"SELECT item_id, sector, list_reduce(list_prepend(0::BIGINT, list_slice({_BYTES}, 1, 511)), lambda s, b: CASE WHEN s + b > 255 THEN (s + b + 1) & 255 ELSE s + b END) & 255 AS check_byte FROM {_WHOLE_SECTORS.format(n=512)}")
+def checksum_boot_whole_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole_sectors(spark, sf_dir, 512).select("item_id", "sector", C.boot_checksum(F.col("d")).alias("check_byte"))
 
 
-@query(f"SELECT item_id, sector, list_reduce(list_prepend(255::BIGINT, list_reverse(list_slice({_BYTES}, 1, 255))), lambda s, b: CASE WHEN s > 255 THEN (s + 1) & 255 ELSE s END + b) & 255 AS check_byte FROM {_SECTORS.format(n=256)}")
-def checksum_oldmap_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sectors(spark, sf_dir, 256).select("item_id", "sector", C.old_map_checksum(F.col("d")).alias("check_byte"))
+@query(f"SELECT item_id, sector, list_reduce(list_prepend(255::BIGINT, list_reverse(list_slice({_BYTES}, 1, 255))), lambda s, b: CASE WHEN s > 255 THEN (s + 1) & 255 ELSE s END + b) & 255 AS check_byte FROM {_WHOLE_SECTORS.format(n=256)}")
+def checksum_oldmap_whole_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole_sectors(spark, sf_dir, 256).select("item_id", "sector", C.old_map_checksum(F.col("d")).alias("check_byte"))
 
 
-@query(_FOLD.replace("item_id", "item_id, sector").format(q=f"SELECT item_id, sector, (list_reduce(list_prepend(0::BIGINT, list_reverse({_WORDS})), lambda s, w: (s & 4294967295) + w + (s >> 32)) - ('0x' || substr(hex(d), 1, 2))::BIGINT) & 4294967295 AS s FROM {_SECTORS.format(n=512)}"))
-def checksum_zone_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sectors(spark, sf_dir, 512).select("item_id", "sector", C.zone_check(F.col("d")).alias("check_byte"))
+@query(_FOLD.replace("item_id", "item_id, sector").format(q=f"SELECT item_id, sector, (list_reduce(list_prepend(0::BIGINT, list_reverse({_WORDS})), lambda s, w: (s & 4294967295) + w + (s >> 32)) - ('0x' || substr(hex(d), 1, 2))::BIGINT) & 4294967295 AS s FROM {_WHOLE_SECTORS.format(n=512)}"))
+def checksum_zone_whole_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole_sectors(spark, sf_dir, 512).select("item_id", "sector", C.zone_check(F.col("d")).alias("check_byte"))
 
 
 @query(_FOLD.format(q=f"SELECT item_id, list_reduce(list_prepend(0::BIGINT, list_concat({_WORDS}, list_slice({_BYTES}, octet_length(d) // 4 * 4 + 1, octet_length(d)))), lambda c, w: xor(w, ((c >> 13) + ((c & 8191) << 19)) & 4294967295)) AS s FROM (SELECT item_id, encode(t) AS d FROM {_WHOLE})"))
@@ -442,10 +473,14 @@ def afs_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", d.alias("packed")).select("o_orderkey", "packed", C.packed_date(F.col("packed").cast("int")).alias("modified"))
 
 
-same("attr_bits", """
+@query("""
 SELECT l_orderkey, l_linenumber, nfs, (nfs & 1) * 16 + (nfs & 2) * 16 + (nfs & 4) // 4 + (nfs & 8) // 4 + (nfs & 16) // 4 + (nfs & 32) // 4 AS attrs, (nfs & 16) <> 0 AS locked
 FROM (SELECT l_orderkey, l_linenumber, (l_partkey + l_suppkey) & 63 AS nfs FROM lineitem) x
 """)
+def attr_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nfs = (F.col("l_partkey") + F.col("l_suppkey")).bitwiseAND(C.long(63))
+    bits = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", nfs.alias("nfs"))
+    return bits.select("*", C.access(F.col("nfs").cast("int")).cast("long").alias("attrs"), (F.col("nfs").bitwiseAND(C.long(16)) != 0).alias("locked"))
 
 
 @query("""
@@ -457,22 +492,31 @@ def collation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directories whose entries are in collation order."""
     key = C.collation_key(F.when(F.col("c_custkey") % 40 == 0, F.col("c_mktsegment")).otherwise(F.col("c_name")))
     c = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", key.alias("k"))
-    ok = F.coalesce(F.lag("k").over(W.partitionBy("c_nationkey").orderBy("c_custkey")) <= F.col("k"), F.lit(True))
-    return c.withColumn("ok", ok).groupBy(F.col("c_nationkey").alias("dir")).agg(F.count("*").alias("entries"), F.bool_and("ok").alias("sorted"))
+    c = previous(c, ["c_nationkey"], "c_custkey", F.col("k"), "before")
+    return c.withColumn("ok", F.coalesce(F.col("before") <= F.col("k"), F.lit(True))).groupBy(F.col("c_nationkey").alias("dir")).agg(F.count("*").alias("entries"), F.bool_and("ok").alias("sorted"))
 
 
-same("content_sniff", """
+@query("""
 SELECT page_id, CASE WHEN substr(html, 1, 9) = '<!DOCTYPE' OR substr(html, 1, 9) = '<!doctype' THEN 'doctype' WHEN substr(html, 1, 5) = '<html' THEN 'html' WHEN substr(html, 1, 1) = '<' THEN 'markup' ELSE 'text' END AS kind FROM pages
 """)
+def content_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What pages are, by how they start."""
+    kinds = (("<!DOCTYPE", "doctype"), ("<!doctype", "doctype"), ("<html", "html"), ("<", "markup"))
+    return table(spark, sf_dir, "pages").select("page_id", V.sniffed(F.col("html"), kinds, "text").alias("kind"))
 
-same("partition_filter", """
+@query("""
 SELECT source AS label, count(*) AS files, count(*) > 1 AS own_directory FROM documents WHERE source = 'src0' OR source = 'src1' GROUP BY source
 """)
+def partition_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.own_directories(table(spark, sf_dir, "documents"), "source", ["src0", "src1"])
 
-same("unique_labels", """
+@query("""
 SELECT s_suppkey, CASE WHEN n = 1 THEN label ELSE label || '-' || CAST(n - 1 AS VARCHAR) END AS label FROM (
   SELECT s_suppkey, label, row_number() OVER (PARTITION BY label ORDER BY s_suppkey) AS n FROM (SELECT s_suppkey, 'vol' || CAST(s_nationkey AS VARCHAR) AS label FROM supplier) a) b
 """)
+def unique_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.concat(F.lit("vol"), F.col("s_nationkey").cast("string"))
+    return V.unique_labels(table(spark, sf_dir, "supplier"), "s_suppkey", label)
 
 
 @query("""
@@ -486,3 +530,35 @@ def rescue_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = F.replace(F.col("literal"), F.lit("_"), F.lit(""))
     value = F.when(plain.rlike("^0[xX]"), F.conv(F.substr(plain, F.lit(3)), 16, 10)).when(plain.rlike("^0."), F.conv(plain, 8, 10)).otherwise(plain)
     return table(spark, sf_dir, "supplier").select(k.alias("literal")).select("literal", value.cast("long").alias("value"))
+
+
+# --- corpora -----------------------------------------------------------------------
+
+
+@query("SELECT lang AS map_type, source AS dir_type, count(*) AS discs FROM documents GROUP BY lang, source")
+def corpus_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discs of each kind."""
+    reports = table(spark, sf_dir, "documents").select(F.col("lang").alias("map_type"), F.col("source").alias("dir_type"))
+    return V.tally(reports, ["map_type", "dir_type"])
+
+
+@query("""
+SELECT l_returnflag AS disc, count(*) AS files, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS fragmented
+FROM (SELECT l_returnflag, l_orderkey, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_orderkey) GROUP BY l_returnflag
+""")
+def fragmented_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of each disc, and those in more than one extent."""
+    return V.fragmented(table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "disc"), ["disc"], ["l_orderkey"])
+
+
+@query("SELECT event_id, strftime(make_timestamp(epoch_us(ts) // 1000000 * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM events")
+def iso_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seconds = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000)
+    return table(spark, sf_dir, "events").select("event_id", C.iso_8601(seconds).alias("stamp"))
+
+
+@query("SELECT page_id, translate(translate(regexp_extract(url, '([^/]*)$', 1), '.#$^&@%', '/?<>+=;'), '/?<>+=;', '.#$^&@%') AS host, translate(regexp_extract(url, '([^/]*)$', 1), '.#$^&@%', '/?<>+=;') AS name FROM pages")
+def names_from_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host names as disc names and back."""
+    leaf = table(spark, sf_dir, "pages").select("page_id", C.from_host(F.regexp_extract("url", "([^/]*)$", 1)).alias("name"))
+    return leaf.select("page_id", C.to_host(F.col("name")).alias("host"), "name")
