@@ -2,11 +2,16 @@
 
 Each text gives integer measures.  A mergeable sketch of every measure, per language and
 source, counts documents in buckets of fixed resolution: sketches merge by adding counts,
-so partial aggregation, lost executors and the order of rows cannot change them, and one
-takes at most 1,001 rows for any number of documents.  Quartiles of the sketch give the
-fences; a group too small for quartiles uses its language's merged sketch, or that of all.
+so partial aggregation, lost executors and the order of rows cannot change them.  A bucket
+is a whole number up to ``FINE`` and a hundredth of a doubling above, so one takes some
+thousand rows for any number of documents and no value is cut off.  Quartiles of the sketch
+give the fences.  Quartiles of a group are drawn towards its language's, and these towards
+those of all, as if ``PRIOR`` documents more had them: one rule for groups of any size.
 The fences are joined back and the documents outside them are rejected.
 
+A spread below its measure's least one counts as that (``MEASURES``), as quartiles of clean
+sources often coincide; a fence is then that far from the quartile.
+
 Defined results: null, empty and blank texts have zero words and fail the base rule; a
 null language or source is a group like any other; repeated rows get equal verdicts.
 """
@@ -23,7 +28,7 @@ from pyspark.sql import Window as W
 
 from .common import stage, table
 
-LEAST_WORDS, REPEAT_PERCENT, WINDOW, LEAST_DOCS, REACH = 10, 20, 5, 30, 3
+LEAST_WORDS, REPEAT_PERCENT, WINDOW, PRIOR, REACH, FINE = 10, 20, 5, 30, 3, 1000
 _BLANKS, _SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 _BLANK_TEXT = _BLANKS.decode()
 
@@ -75,16 +80,21 @@ def measure(text: str | None) -> tuple[int, ...]:
     return (len(words), len(text) - without(_BLANKS), without(_SYMBOLS), len(lines) - len(set(lines)), repeated_words(words), len(lines), without(bytes(range(65, 91))), without(b"!?"))
 
 
+def text_key(text: str = "text") -> Column:
+    """A text in 64 bits; with its id, language and source it tells rows apart."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, lang, source, *STATS) for every row."""
+    """(doc_id, lang, source, t, *STATS) for every row; t is :func:`text_key`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = np.array([measure(x.as_py()) for x in b.column(3)], np.int64).reshape(-1, len(STATS))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(rows[:, i]) for i in range(len(STATS)))], ["doc_id", "lang", "source", *STATS])
+            rows = np.array([measure(x.as_py()) for x in b.column(4)], np.int64).reshape(-1, len(STATS))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], *(pa.array(rows[:, i]) for i in range(len(STATS)))], ["doc_id", "lang", "source", "t", *STATS])
 
     cast = [F.col(c).cast(t).alias(c) for c, t in (("doc_id", "long"), ("lang", "string"), ("source", "string"))]
-    return df.select(*cast, F.col(text).cast("string")).mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{s} long" for s in STATS))
+    return df.select(*cast, text_key(text).alias("t"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, lang string, source string, t long, " + ", ".join(f"{s} long" for s in STATS))
 
 
 def base_failed() -> Column:
@@ -92,8 +102,12 @@ def base_failed() -> Column:
 
 
 def _values() -> Column:
-    """The measures of a row as an array of (measure, value); values above 1,000 share a bucket."""
-    ratio = lambda a, b, scale: F.least(F.lit(1000), F.when(F.col(b) > 0, F.floor(scale * F.col(a) / F.col(b))).otherwise(0)).cast("int")
+    """The measures of a row as an array of (measure, value), the value its bucket."""
+
+    def ratio(a: str, b: str, scale: int) -> Column:
+        value = F.when(F.col(b) > 0, F.floor(scale * F.col(a) / F.col(b))).otherwise(0)
+        return F.when(value <= FINE, value).otherwise(FINE + F.floor(100 * F.log2(value / FINE))).cast("int")
+
     return F.array(*[F.struct(F.lit(m).alias("measure"), ratio(a, b, s).alias("value")) for m, (a, b, s, _, _) in MEASURES.items()])
 
 
@@ -111,14 +125,15 @@ def sketches(stats: DataFrame) -> DataFrame:
     return stats.where(~base_failed()).select("lang", "source", F.explode(_values()).alias("x")).groupBy("lang", "source", "x.measure", "x.value").agg(F.count("*").alias("n"))
 
 
-def fences(sketch: DataFrame, least_docs: int = LEAST_DOCS, reach: float = REACH) -> DataFrame:
+def fences(sketch: DataFrame, prior: float = PRIOR, reach: float = REACH) -> DataFrame:
     """(lang, source, fence): a map from measure to the (low, high) that a value must keep."""
     own = _quartiles(sketch, ["lang", "source"])
     lang = _quartiles(sketch, ["lang"]).select(F.col("lang").alias("l"), F.col("measure").alias("lm"), F.col("docs").alias("ld"), F.col("q1").alias("l1"), F.col("q3").alias("l3"))
     all_ = _quartiles(sketch, []).select(F.col("measure").alias("am"), F.col("q1").alias("a1"), F.col("q3").alias("a3"))
     x = own.join(lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("measure") == F.col("lm"))).join(all_, F.col("measure") == F.col("am"))
-    pick = lambda o, l, a: F.when(F.col("docs") >= least_docs, F.col(o)).when(F.col("ld") >= least_docs, F.col(l)).otherwise(F.col(a))
-    x = x.select("lang", "source", "measure", pick("q1", "l1", "a1").alias("q1"), pick("q3", "l3", "a3").alias("q3"))
+    drawn = lambda own, n, to: (F.col(n) * F.col(own) + prior * to) / (F.col(n) + prior)
+    of = lambda o, l, a: drawn(o, "docs", drawn(l, "ld", F.col(a)))
+    x = x.select("lang", "source", "measure", of("q1", "l1", "a1").alias("q1"), of("q3", "l3", "a3").alias("q3"))
     least = F.coalesce(*[F.when(F.col("measure") == m, F.lit(v[3])) for m, v in MEASURES.items()])
     below = F.col("measure").isin([m for m, v in MEASURES.items() if v[4]])
     x = x.withColumn("spread", F.greatest(F.col("q3") - F.col("q1"), least))
@@ -127,12 +142,22 @@ def fences(sketch: DataFrame, least_docs: int = LEAST_DOCS, reach: float = REACH
 
 
 def verdicts(df: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, *STATS, base_failed, kept) for every row."""
+    """(doc_id, lang, source, t, *STATS, base_failed, kept) for every row."""
     stats = stage(measured(df, text), "measures")
     bounds = fences(sketches(stats)).select(F.col("lang").alias("fl"), F.col("source").alias("fs"), "fence")
     x = stats.join(bounds, F.col("lang").eqNullSafe(F.col("fl")) & F.col("source").eqNullSafe(F.col("fs")), "left")
     inside = F.forall(_values(), lambda v: F.coalesce(v["value"].between(F.col("fence")[v["measure"]]["low"], F.col("fence")[v["measure"]]["high"]), F.lit(True)))
-    return x.select("doc_id", *STATS, base_failed().alias("base_failed"), (~base_failed() & inside).alias("kept"))
+    return x.select("doc_id", "lang", "source", "t", *STATS, base_failed().alias("base_failed"), (~base_failed() & inside).alias("kept"))
+
+
+def kept_documents(df: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``df`` that the rules keep.  A verdict hangs on a row's text, language and
+    source alone, so by these it goes back to the row, whatever its id."""
+    keys = ["lang", "source", "t"]
+    bad = verdicts(df, text).where("not kept").select(*(F.col(k).alias(f"bad_{k}") for k in keys)).distinct()
+    rows = df.select(F.struct(*df.columns).alias("row"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), text_key(text).alias("t"))
+    met = F.col("t").eqNullSafe(F.col("bad_t")) & F.col("lang").eqNullSafe(F.col("bad_lang")) & F.col("source").eqNullSafe(F.col("bad_source"))
+    return rows.join(bad, met, "left_anti").select("row.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

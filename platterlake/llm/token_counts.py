@@ -21,7 +21,8 @@ from itertools import accumulate
 
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -116,13 +117,17 @@ class PrefixCounter(dict):
             base += inside[-1]
         return out if text else [0]
 
-    def longest_prefix(self, text: str, budget: int, counts: list[int] | None = None) -> int:
+    def ends(self, text: str) -> list[int]:
+        """Token counts of the prefixes of ``text`` that end with a segment; the last is its own."""
+        return list(accumulate(self.segment_counts(text)))
+
+    def longest_prefix(self, text: str, budget: int, ends: list[int] | None = None) -> int:
         """Characters of the longest prefix of at most ``budget`` tokens.
 
         Counts at segment ends never fall, so the answer lies at the last end within the
         budget or inside the one segment behind it.
         """
-        sums = list(accumulate(counts if counts is not None else self.segment_counts(text)))
+        sums = ends if ends is not None else self.ends(text)
         k = bisect_right(sums, budget)
         if k == len(sums):
             return len(text)
@@ -143,24 +148,40 @@ def counter(model: str | None = None) -> PrefixCounter:
     return _counters[at]
 
 
-def token_counts(df: DataFrame, text: str = "text", limit: int = LIMIT, model: str | None = None) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit, limit_chars) for every row; limit_chars is
-    the length of the longest prefix of at most ``limit`` tokens."""
+def token_counts(df: DataFrame, text: str = "text", limit: int = LIMIT, model: str | None = None, prefixes: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, over_limit, limit_chars) for every row, all read off the
+    counts at its prefixes; limit_chars is the length of the longest prefix of at most
+    ``limit`` tokens.  With ``prefixes`` these are stored too: end_tokens and end_chars, the
+    tokens and characters of each prefix that ends with a segment, for :func:`within`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(model)
         for b in batches:
-            sizes, tokens, fit = [], [], []
+            sizes, tokens, fit, kept, chars = [], [], [], [], []
             for x in b.column(1):
                 body = x.as_py() or ""
-                counts = c.segment_counts(body)
+                ends = c.ends(body)
                 sizes.append(len(body.encode()))
-                tokens.append(sum(counts))
-                fit.append(len(body) if tokens[-1] <= limit else c.longest_prefix(body, limit, counts))
-            over = pa.array([n > limit for n in tokens], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), over, pa.array(fit, pa.int64())], ["doc_id", "n_bytes", "n_tokens", "over_limit", "limit_chars"])
-
-    return df.select(df["doc_id"].cast("long").alias("doc_id"), df[text].cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, limit_chars long")
+                tokens.append(ends[-1] if ends else 0)
+                fit.append(len(body) if tokens[-1] <= limit else c.longest_prefix(body, limit, ends))
+                if prefixes:
+                    kept.append(ends)
+                    chars.append([n - 1 for n in accumulate(map(len, c.segments(body)))])  # without the first mark
+            out = [b.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_()), pa.array(fit, pa.int64())]
+            if prefixes:
+                out += [pa.array(kept, pa.list_(pa.int64())), pa.array(chars, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(out, names)
+
+    schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, limit_chars long" + ", end_tokens array<long>, end_chars array<long>" * prefixes
+    names = [c.split()[0] for c in schema.split(", ")]
+    return df.select(df["doc_id"].cast("long").alias("doc_id"), df[text].cast("string")).mapInArrow(run, schema)
+
+
+def within(budget: int) -> Column:
+    """Characters of the longest stored prefix of at most ``budget`` tokens, from the columns
+    end_tokens and end_chars: no text is read and nothing is encoded again."""
+    n = F.size(F.filter("end_tokens", lambda t: t <= budget))
+    return F.when(n > 0, F.get("end_chars", n - 1)).otherwise(F.lit(0).cast("long"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

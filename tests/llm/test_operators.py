@@ -405,6 +405,62 @@ def test_token_counts_equal_library(spark, sf):
         assert c.longest_prefix(t, budget) == max(i for i, n in enumerate(counts) if n <= budget)
 
 
+def test_stored_prefixes_answer_budgets(spark):
+    texts = ["", None, "one two  three", " lead and trail ", "word " * 50, "字é ok\n" * 9]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    c = token_counts.counter()
+    for budget in (0, 1, 3, 7, 1000):
+        rows = token_counts.token_counts(df, prefixes=True).withColumn("fit", token_counts.within(budget)).collect()
+        for r in rows:
+            t = texts[r.doc_id] or ""
+            every = c.prefix_counts(t)
+            assert r.n_tokens == every[-1] == (r.end_tokens or [0])[-1]
+            assert [every[n] for n in r.end_chars if n >= 0] == [k for k, n in zip(r.end_tokens, r.end_chars) if n >= 0]
+            assert r.fit == max([0, *(n for k, n in zip(r.end_tokens, r.end_chars) if k <= budget)])
+            assert every[r.fit] <= budget or r.fit == 0
+
+
+def test_quality_verdicts_equal_brute_force(spark):
+    rnd = random.Random(12)
+    docs = []
+    for i in range(400):
+        lang, source = rnd.choice(["en", "de", None]), rnd.choice(["a", "a", "a", "b", None])
+        w = [("W" if rnd.random() < 0.1 else "w") + rnd.choice("abcde") * rnd.choice([1, 3, 5, 9]) + str(rnd.randrange(999)) for _ in range(rnd.randrange(5, 60))]
+        if rnd.random() < 0.1:
+            w += rnd.choice([["#"] * 40, ["!!!"] * 60, ["x" * 3000] * 9, ["LOUD" + str(k) for k in range(80)]])
+        docs.append((i, " ".join(w), lang, source))
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    stats = [dict(zip(quality_rules.STATS, quality_rules.measure(t))) for _, t, *_ in docs]
+
+    def bucket(v):
+        return v if v <= 1000 else 1000 + math.floor(100 * math.log2(v / 1000))
+
+    failed = [s["n_words"] < 10 or 100 * s["n_repeat_words"] > 20 * s["n_words"] for s in stats]
+    values = [{m: bucket(k * s[a] // s[b]) if s[b] else 0 for m, (a, b, k, *_) in quality_rules.MEASURES.items()} for s in stats]
+
+    def quartiles(m, keep):
+        v = sorted(x[m] for x, f, d in zip(values, failed, docs) if not f and keep(d))
+        return len(v), [v[max(0, math.ceil(q * len(v)) - 1)] for q in (0.25, 0.75)]
+
+    def kept(k):
+        _, _, lang, source = docs[k]
+        for m, (*_, least, below) in quality_rules.MEASURES.items():
+            q = quartiles(m, lambda d: True)[1]
+            for keep in (lambda d: d[2] == lang, lambda d: d[2:] == (lang, source)):
+                n, own = quartiles(m, keep)
+                q = [(n * o + 30 * p) / (n + 30) for o, p in zip(own, q)]
+            spread = max(q[1] - q[0], least)
+            if not (q[0] - 3 * spread if below else 0) <= values[k][m] <= q[1] + 3 * spread:
+                return False
+        return True
+
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality_rules.verdicts(df).collect()}
+    assert got == {k: (failed[k], not failed[k] and kept(k)) for k in range(len(docs))}
+    assert 10 < sum(not f and not g for f, g in got.values()) < 60
+    left = quality_rules.kept_documents(df.selectExpr("cast(null as long) as doc_id", "text", "lang", "source", "doc_id as t", "doc_id as bad_t"))
+    assert {r.t for r in left.collect()} == {k for k, (_, g) in got.items() if g} and left.columns[-1] == "bad_t"
+
+
 def test_quality_counts_equal_brute_force(spark, sf):
     def brute(t):
         w = words(t)
