@@ -1,13 +1,19 @@
 """Language-model scoring with a log-bilinear neural model, in numpy.
 
 Counts of all training tokens come first, by a combined aggregation.  The model predicts
-units: the ``TOP`` most frequent tokens, and ``CLASSES`` classes of the others by their
-last two bytes.  A context of ``CONTEXT`` units gives a vector, the sum of its units'
-vectors each through its place's matrix; products with the units' output vectors and a
-bias are their scores.  Every partition of the training documents trains over all its
-tokens by noise-contrastive estimation from the same start, and the weights are averaged
-by tokens, summed by the shuffle.  Scoring normalises over all units; inside a class a
-token's share is its count plus one, with one unseen token more.
+units, each with vectors of its own: the ``TOP`` most frequent tokens, and ``CLASSES`` classes
+of the others by their last two bytes.  A context of ``CONTEXT`` units gives a vector, the sum of its units' vectors
+each through its place's matrix.  Units stand in ``GROUPS`` groups of equal size: the
+vector's products with the groups' output vectors normalise over groups, those with the
+units of one group over that group, so a probability takes the root of the vocabulary's
+products.  Inside a tail class a token's share is its count plus one, with one unseen token more.
+
+Training is noise-contrastive estimation, of groups against noise groups and of units
+against noise units of their group.  Documents are dealt by hash of id and text into shards of about ``SHARD``
+tokens and ``ROUNDS`` rounds.  In a round every shard starts from the same weights and trains over all
+its tokens; the weights are averaged by tokens, summed by the shuffle, and start the next
+round.  Shards are read in order of a hash, so the model depends on the documents and not on
+files, partitions or batches.
 
 The ``HEAD`` most frequent tokens are looked up in the worker; all others are joined to
 the table of counts, so no more than that bound is ever sent to workers.
@@ -29,8 +35,10 @@ from pyspark.sql import functions as F
 
 from .common import remainder, stage, table
 
-HEAD, TOP, CLASSES, DIM, CONTEXT = 131_072, 192, 48, 16, 2
-NOISE, BATCH, RATE, SEED = 32, 4096, 0.05, 11
+HEAD, TOP, CLASSES, DIM, CONTEXT = 131_072, 4032, 64, 16, 2
+GROUPS, SIZE = 32, 128  # of units; GROUPS * SIZE is their number
+NOISE, INSIDE, BATCH, RATE, SEED = 32, 8, 4096, 0.1, 11
+SHARD, MOST_SHARDS, ROUNDS = 1 << 19, 2048, 3
 FOLDS, HELD = 7, 2
 UNITS = TOP + CLASSES
 END = b""  # no word is empty
@@ -54,6 +62,11 @@ def counts(train: DataFrame) -> DataFrame:
     return every.union(ends)
 
 
+def place_of(unit: np.ndarray) -> np.ndarray:
+    """Where a unit stands: its group times SIZE and its place in it."""
+    return unit % GROUPS * SIZE + unit // GROUPS
+
+
 class Vocabulary(dict):
     """Token to number: a head token's rank, or -1 - its class.  Also what units cost."""
 
@@ -63,12 +76,18 @@ class Vocabulary(dict):
         c = np.array([c for _, c in head] or [0], np.float64)
         size = len(head)
         unit = np.array([i if i < TOP else TOP + class_of(t) for i, (t, _) in enumerate(head)] or [0], np.int64)
-        self.unit = np.concatenate((unit, TOP + np.arange(CLASSES)[::-1]))  # index -1 - k: class k
+        unit = np.concatenate((unit, TOP + np.arange(CLASSES)[::-1]))  # index -1 - k: class k
+        #: Ranks are dealt over groups in turn, so that every group has frequent units.
+        self.unit = place_of(unit)
+        self.tail = unit >= TOP
         self.base = np.log10(c + 1) if size else np.zeros(1)
         #: log10 of one over what tokens of a class share; single units share with no one
-        self.share = np.concatenate((np.zeros(TOP), -np.log10(class_sums + 1.0)))
+        self.share = np.concatenate((np.zeros(TOP), -np.log10(class_sums + 1.0)))[unit]
         mass = np.concatenate((np.where(np.arange(TOP) < size, np.resize(c, TOP), 0), class_sums)) if size else np.zeros(UNITS)
-        self.noise = (mass + 1) / (mass + 1).sum()
+        noise = np.empty(UNITS)
+        noise[place_of(np.arange(UNITS))] = (mass + 1) / (mass + 1).sum()
+        #: (GROUPS, SIZE): the share of each unit.
+        self.noise = noise.reshape(GROUPS, SIZE)
 
     def __missing__(self, token: bytes) -> int:
         return -1 - class_of(token)
@@ -102,14 +121,17 @@ def vocabulary(counted: DataFrame) -> Vocabulary:
 
 
 Weights = dict[str, np.ndarray]
-_SHAPES = {"inputs": (UNITS + 1, DIM), "places": (CONTEXT, DIM, DIM), "outputs": (UNITS, DIM), "bias": (UNITS,)}
+_SHAPES = {"inputs": (UNITS + 1, DIM), "places": (CONTEXT, DIM, DIM), "groups": (GROUPS, DIM), "group_bias": (GROUPS,), "outputs": (UNITS, DIM), "bias": (UNITS,)}
 
 
 def start(vocab: Vocabulary) -> Weights:
+    """Small random vectors; biases that make the model the unigram one."""
     rng = np.random.default_rng(SEED)
     w = {k: rng.normal(0, 0.1, s).astype(np.float32) for k, s in _SHAPES.items()}
     w["places"] = (np.eye(DIM) / CONTEXT + rng.normal(0, 0.02, _SHAPES["places"])).astype(np.float32)
-    w["bias"] = np.log(vocab.noise).astype(np.float32)
+    groups = vocab.noise.sum(axis=1)
+    w["group_bias"] = np.log(groups).astype(np.float32)
+    w["bias"] = np.log(vocab.noise / groups[:, None]).astype(np.float32).ravel()
     return w
 
 
@@ -148,26 +170,49 @@ def _predicted(w: Weights, ctx: np.ndarray) -> np.ndarray:
 
 
 class Trainer:
-    """Noise-contrastive estimation with AdaGrad steps; one sample of noise serves a batch."""
+    """Noise-contrastive estimation with AdaGrad steps; one sample of noise groups serves a
+    batch, and one sample of places serves the units of each group."""
 
     def __init__(self, w: Weights, noise: np.ndarray) -> None:
         self.w, self.sums = {k: v.copy() for k, v in w.items()}, {k: np.full(s, 0.1, np.float32) for k, s in _SHAPES.items()}
-        self.cdf, self.log_noise = np.cumsum(noise), np.log(noise * NOISE).astype(np.float32)
+        groups = noise.sum(axis=1)
+        self.cdf, self.log_groups = np.cumsum(groups), np.log(groups * NOISE).astype(np.float32)
+        self.inside = np.cumsum(noise / groups[:, None], axis=1)
+        self.log_inside = np.log(noise / groups[:, None] * INSIDE).astype(np.float32).ravel()
         self.rng, self.seen = np.random.default_rng(SEED), 0
 
     def step(self, ctx: np.ndarray, target: np.ndarray) -> None:
         w, n = self.w, len(target)
-        other = np.minimum(np.searchsorted(self.cdf, self.rng.random(NOISE)), UNITS - 1)
-        q = _predicted(w, ctx)
-        own = np.einsum("nd,nd->n", q, w["outputs"][target]) + w["bias"][target] - self.log_noise[target]
-        rest = q @ w["outputs"][other].T + w["bias"][other] - self.log_noise[other]
-        d_own = (1 / (1 + np.exp(-np.clip(own, -30, 30))) - 1) / n
-        d_rest = 1 / (1 + np.exp(-np.clip(rest, -30, 30))) / n
-        dq = d_own[:, None] * w["outputs"][target] + d_rest @ w["outputs"][other]
+        q, group = _predicted(w, ctx), target // SIZE
         g = {k: np.zeros(s, np.float32) for k, s in _SHAPES.items()}
+
+        other = np.minimum(np.searchsorted(self.cdf, self.rng.random(NOISE)), GROUPS - 1)
+        own = np.einsum("nd,nd->n", q, w["groups"][group]) + w["group_bias"][group] - self.log_groups[group]
+        rest = q @ w["groups"][other].T + w["group_bias"][other] - self.log_groups[other]
+        d_own, d_rest = (_sigmoid(own) - 1) / n, _sigmoid(rest) / n
+        dq = d_own[:, None] * w["groups"][group] + d_rest @ w["groups"][other]
+        _scatter(g["groups"], group, d_own[:, None] * q)
+        np.add.at(g["groups"], other, d_rest.T @ q)
+        g["group_bias"] += np.bincount(group, d_own, GROUPS) + np.bincount(other, d_rest.sum(axis=0), GROUPS)
+
+        draw = self.rng.random((GROUPS, INSIDE))
+        noise = np.stack([np.searchsorted(c, d) for c, d in zip(self.inside, draw, strict=True)])
+        noise = np.minimum(noise, SIZE - 1) + np.arange(GROUPS)[:, None] * SIZE  # groups, INSIDE
+        own = np.einsum("nd,nd->n", q, w["outputs"][target]) + w["bias"][target] - self.log_inside[target]
+        d_own = (_sigmoid(own) - 1) / n
+        dq += d_own[:, None] * w["outputs"][target]
         _scatter(g["outputs"], target, d_own[:, None] * q)
-        np.add.at(g["outputs"], other, d_rest.T @ q)
-        g["bias"] += np.bincount(target, d_own, UNITS) + np.bincount(other, d_rest.sum(axis=0), UNITS)
+        g["bias"] += np.bincount(target, d_own, UNITS)
+        order = np.argsort(group, kind="stable")
+        ends = np.searchsorted(group[order], np.arange(GROUPS + 1))
+        for k in np.flatnonzero(np.diff(ends)):  # the tokens of a group at once
+            at, units = order[ends[k] : ends[k + 1]], noise[k]
+            vectors = w["outputs"][units]
+            d = _sigmoid(q[at] @ vectors.T + w["bias"][units] - self.log_inside[units]) / n
+            dq[at] += d @ vectors
+            np.add.at(g["outputs"], units, d.T @ q[at])
+            np.add.at(g["bias"], units, d.sum(axis=0))
+
         for k in range(CONTEXT):
             x = w["inputs"][ctx[k]]
             g["places"][k] = x.T @ dq
@@ -178,6 +223,10 @@ class Trainer:
         self.seen += n
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
 def _scatter(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     for d in range(DIM):
         to[:, d] += np.bincount(at, rows[:, d], len(to))
@@ -203,45 +252,90 @@ def _groups(column: pa.Array, most: int = 1 << 21) -> Iterator[list]:
 
 
 def train(train_docs: DataFrame, vocab: Vocabulary) -> Weights:
-    """Weights averaged over the partitions' passes through all their tokens."""
-    first = start(vocab)
+    """Weights after ROUNDS rounds over the documents' shards."""
+    shards = int(min(MOST_SHARDS, max(1, -(-vocab.n // (SHARD * ROUNDS)))))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    id_ = F.col("doc_id") if "doc_id" in train_docs.columns else F.lit(None).cast("long")
+    dealt = train_docs.select(F.xxhash64(F.lit("shard"), id_, text).alias("key"), text.alias("text"))
+    dealt = dealt.withColumn("round", F.pmod("key", F.lit(ROUNDS))).withColumn("shard", F.pmod(F.shiftright("key", 8), F.lit(shards)))
+    w = start(vocab)
+    for k in range(ROUNDS):
+        rows = dealt.where(F.col("round") == k).repartition(shards, "shard").sortWithinPartitions("shard", "key", "text")
+        w = _round(rows.select("shard", "text"), vocab, w)
+    return w
+
+
+def _round(rows: DataFrame, vocab: Vocabulary, first: Weights) -> Weights:
+    """The average of the shards' weights, each trained from ``first``."""
+    names = ["i", "v", "n"]
+
+    def learn(t: Trainer, texts: list) -> None:
+        numbers, ends, _ = _encoded(texts, vocab)
+        units = vocab.unit[numbers]
+        ctx = contexts(units, ends)
+        order = t.rng.permutation(len(units))
+        for i in range(0, len(order), BATCH):
+            pick = order[i : i + BATCH]
+            t.step(ctx[:, pick], units[pick])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Trainer(first, vocab.noise)
+        shard, t, held, size = None, None, [], 0
+        total, seen = np.zeros(len(flat(first))), 0.0
+
+        def close() -> None:
+            nonlocal total, seen
+            if t is not None:
+                if held:
+                    learn(t, held)
+                total += flat(t.w).astype(np.float64) * t.seen
+                seen += t.seen
+
         for b in batches:
-            for texts in _groups(b.column(0)):
-                numbers, ends, _ = _encoded(texts, vocab)
-                units = vocab.unit[numbers]
-                ctx = contexts(units, ends)
-                order = t.rng.permutation(len(units))
-                for i in range(0, len(order), BATCH):
-                    pick = order[i : i + BATCH]
-                    t.step(ctx[:, pick], units[pick])
-        if t.seen:
-            v = flat(t.w).astype(np.float64) * t.seen
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v)), pa.int32()), pa.array(v), pa.array(np.full(len(v), float(t.seen)))], ["i", "v", "n"])
-
-    summed = train_docs.select("text").mapInArrow(run, "i int, v double, n double").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).collect()  # one row a weight
-    if not summed:
+            for own, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if own != shard:  # a shard is learnt alone, whatever else is in its partition
+                    close()
+                    shard, t, held, size = own, Trainer(first, vocab.noise), [], 0
+                held.append(x.as_py())
+                size += len(held[-1] or "")
+                if size > 1 << 20:
+                    learn(t, held)
+                    held, size = [], 0
+        close()
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total), pa.array(np.full(len(total), seen))], names)
+
+    # One row a weight, some 140,000 in all, whatever the input.
+    got = rows.mapInArrow(run, "i int, v double, n double").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toArrow()
+    if not got.num_rows:
         return first
-    out = np.empty(len(flat(first)))
-    for i, v in summed:
-        out[i] = v
+    out = np.empty(got.num_rows)
+    out[got["i"].to_numpy()] = got["v"].to_numpy()
     return shaped(out)
 
 
 def log_probs(w: Weights, units: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Normalised log10 probabilities of units in their contexts."""
     out, ctx = np.empty(len(units), np.float32), contexts(units, ends)
-    ones, to = np.ones(UNITS, np.float32), np.ascontiguousarray(w["outputs"].T)
-    for i in range(0, len(units), 2048):
-        part = slice(i, i + 2048)
-        s = _predicted(w, ctx[:, part]) @ to
-        s += w["bias"]
+    ones, to = np.ones(GROUPS, np.float32), np.ascontiguousarray(w["groups"].T)
+    inside = np.ascontiguousarray(w["outputs"].reshape(GROUPS, SIZE, DIM).transpose(0, 2, 1))
+    bias, ones_inside = w["bias"].reshape(GROUPS, SIZE), np.ones(SIZE, np.float32)
+
+    def normalised(s: np.ndarray, at: np.ndarray, one: np.ndarray) -> np.ndarray:
         s -= max(0.0, float(s.max()) - 80.0)  # no overflow
-        own = s[np.arange(len(s)), units[part]]
+        own = s[np.arange(len(s)), at]
         np.exp(s, out=s)
-        out[part] = own - np.log(np.maximum(s @ ones, 1e-37))
+        return own - np.log(np.maximum(s @ one, 1e-37))
+
+    for i in range(0, len(units), 16_384):
+        part = units[i : i + 16_384]
+        q, group = _predicted(w, ctx[:, i : i + 16_384]), part // SIZE
+        found = normalised(q @ to + w["group_bias"], group, ones)
+        order = np.argsort(group, kind="stable")
+        ends_ = np.searchsorted(group[order], np.arange(GROUPS + 1))
+        for k in np.flatnonzero(np.diff(ends_)):
+            at = order[ends_[k] : ends_[k + 1]]
+            found[at] += normalised(q[at] @ inside[k] + bias[k], part[at] % SIZE, ones_inside)
+        out[i : i + 16_384] = found
     return out.astype(np.float64) / np.log(10)
 
 
@@ -262,7 +356,7 @@ def _scored(docs: DataFrame, vocab: Vocabulary, w: Weights) -> DataFrame:
                 known = numbers >= 0
                 base = np.where(known, vocab.base[np.maximum(numbers, 0)], 0.0)
                 # in a class: log10 of count + 1 over the class's sum
-                score = log_probs(w, units, ends) + vocab.share[units] + np.where(units >= TOP, base, 0.0)
+                score = log_probs(w, units, ends) + vocab.share[numbers] + np.where(vocab.tail[numbers], base, 0.0)
                 starts = np.concatenate(([0], ends[:-1]))
                 total = lambda x: pa.array(np.add.reduceat(x, starts))
                 lost = ~known

@@ -330,6 +330,19 @@ def test_lm_base_and_normalisation(spark, sf):
     assert math.isclose(total, 1, rel_tol=1e-4)
 
 
+def test_lm_gains_on_most_held_out_documents(spark, sf):
+    rows = lm.op7_lm_scoring(spark, sf.replace("0.001", "0.01")).where("held_out").collect()
+    perplexity = lambda c: 10 ** (-sum(r[c] for r in rows) / sum(r.n_tokens for r in rows))
+    assert sum(r.score > r.base_score for r in rows) > 0.9 * len(rows)
+    assert perplexity("score") < 0.92 * perplexity("base_score")
+
+
+def test_lm_does_not_depend_on_layout(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "false as held_out", "text")
+    one, many = ({r.doc_id: r.score for r in lm.score(d, d).collect()} for d in (docs.repartition(1), docs.repartition(8)))
+    assert all(math.isclose(one[i], many[i], rel_tol=1e-6) for i in one)
+
+
 def test_lm_contexts_stop_at_texts():
     units, ends = np.array([1, 2, 3, 4, 5, 6]), np.array([1, 2, 6])
     assert lm.contexts(units, ends).tolist() == [[lm.UNITS, lm.UNITS, lm.UNITS, 3, 4, 5], [lm.UNITS, lm.UNITS, lm.UNITS, lm.UNITS, 3, 4]]
