@@ -82,6 +82,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; null and blank texts give an empty one."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP, -1), "")

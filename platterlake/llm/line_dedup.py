@@ -2,26 +2,33 @@
 
 A line is its set of words.  Two lines match if the Jaccard similarity of their sets is
 ``JACCARD`` or more; equal lines do.  A line is removed if it matches any earlier one, in
-order of (doc_id, place in the text), whether or not that one is removed itself.  Lines of
-fewer than ``least`` different words are left alone: by default ``LEAST_WORDS``; the query and
-the pipeline give 1, so that only blank lines are.
-
-The join: equal lines are one row.  Words are ordered by rarity, from a table of word
-counts of fixed size (words share its cells by hash, which costs order, never a match).
-By the prefix filter, lines that match share one of their first ``n - ceil(0.8 n) + 1``
-words; length, place and parity bits of the words bound what a pair can still share; what is
-left is verified on the words themselves, for each line first with the earlier one whose
-parities are nearest, then with the rest if that one does not match.
-
-No group of lines gives all its pairs.  Where a prefix word has up to ``FEW`` lines, each
-meets the earlier ones that pass every filter.  Where it has more, each first meets the
-earliest and the ``LAST`` before it: lines in a crowd of near copies find their match
-there, in rows in proportion to the lines.  Only lines without a match so far then meet all earlier lines of
-such words that pass every filter.
-
-Defined results: null texts stay null; a repeated id is one document to the order, and all
-its rows keep the lines it keeps; a document whose every line goes is dropped by
-:func:`dedup` unless it was blank before; empty tables give no rows.
+order of (doc_id, hash of the text, place in the text), whether or not that one is removed
+itself.  Lines of fewer than ``least`` different words are left alone: by default
+``LEAST_WORDS``; the query and the pipeline give 1, so that only blank lines are.
+
+The join.  Sets of a and b words that match differ in at most ``(a + b) / 9`` words.  Words
+are dealt by hash into parts, and the words of a line in one part, taken together, are a
+*token*; a word that differs spoils one token only.  Tokens are counted exactly, over all
+lines, and ordered by rarity.  By the prefix filter, lines that match share two of their
+``d + 2`` rarest tokens, where d words may differ, or one where a line has but d + 1.  Tokens
+that no other line has are the rarest, so a line with more than d of them meets nobody.
+Length and place bound what is left, and the words themselves are compared.  Lengths go in
+classes that double; a line near the next class has tokens of that class too.  A line whose
+words fall into d parts or fewer could share no token with a match that is as thin; thin
+lines meet by their rarest words.
+
+No token gives all pairs of its lines.  Where it has up to ``FEW`` lines, each meets the
+earlier ones.  Where it has more, each first meets the earliest and the ``LAST`` before it, in
+its rarest crowded token: lines in a crowd of near copies find their match there.  Only lines
+without a match so far then meet all earlier lines of such tokens that pass the length, place
+and parity filters.
+
+Lines are told apart by 128 bits, words of two lines by 64.
+
+Defined results: null texts stay null; rows equal in id and text are one document, and keep
+the same lines; other rows with one id, or without an id (these come first), are documents
+of their own; a document whose every line goes is dropped by :func:`dedup` unless it was blank before;
+empty tables give no rows; columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -32,203 +39,280 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import let, stage, table, words_of
+from .common import fresh, let, stage, table, unstage
 
-LEAST_WORDS, CELLS = 5, 1 << 20
+LEAST_WORDS = 5
 #: Jaccard of 0.8: an overlap o of sets of a and b words needs 9 o >= 4 (a + b).
 JACCARD = 0.8
-#: Level of a cell that counts one word: no other line has it.
-ONCE = 4
-#: Lines of a word that may meet each other at once.
+#: Parts into which words are dealt at most, so that their number has room in a packed column.
+PARTS = (1 << 20) - 1
+#: Tokens are counted in so many passes, which bounds the shuffle files that exist at once.
+PASSES = 2
+#: Lines of a token that may meet each other at once.
 FEW = 64
-#: Lines just before a line of a crowded word that it meets besides the earliest.
+#: Lines just before a line of a crowded token that it meets besides the earliest.
 LAST = 16
 #: Hashes sent to every executor at most; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
+_BLANKS = " \t\x0b\x0c\r"
 
 
-def _cell(token: Column) -> Column:
-    return F.xxhash64(token).bitwiseAND(F.lit(CELLS - 1))
+def _words(line: Column) -> Column:
+    """The different words of a line and perhaps one empty string."""
+    for gap in _BLANKS[1:]:
+        line = F.replace(line, F.lit(gap), F.lit(" "))
+    return F.array_distinct(F.split(line, " ", -1))
 
 
-def _words(text: Column, gaps: str = "\t\x0b\x0c\r") -> Column:
-    """The words of a line: white space is made blank, so no pattern has to be run."""
-    for gap in gaps:
-        text = F.replace(text, F.lit(gap), F.lit(" "))
-    return F.array_remove(F.split(text, " ", -1), "")
-
-
-def rarity(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row (cells): for each cell a byte, 1 to 126, that rises with the logarithm of
-    its words' count over all documents.  CELLS bytes for any input."""
-    words = _words(F.coalesce(F.col(text), F.lit("")), "\t\n\x0b\x0c\r")
-    counts = docs.select(F.explode(words).alias("token")).groupBy(_cell(F.col("token")).alias("cell")).agg(F.count("*").alias("n"))
-    every = docs.sparkSession.range(CELLS).join(counts, F.col("id") == F.col("cell"), "left")
-    level = F.least(F.lit(126), 1 + F.floor(3 * F.log2(1 + F.coalesce("n", F.lit(0)))))
-    rows = every.select((F.col("id") / 1024).cast("int").alias("hi"), F.col("id"), F.chr(level).alias("c"))
-    join = lambda what, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, what))), lambda x: x[what]), "")
-    rows = rows.groupBy("hi").agg(join("c", "id").alias("part"))  # 1,024 of a row each
-    return rows.agg(join("part", "hi").cast("binary").alias("cells"))
-
-
-def _lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, at, line, h): each different line of a document at its first place."""
-    body = F.array_distinct(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(body).alias("at", "line"))
-    return rows.withColumn("h", F.xxhash64("line"))
+def _size(words: Column) -> Column:
+    return F.size(words) - F.array_contains(words, "").cast("int")
 
 
 def _counts(line: Column, least: int) -> Column:
-    return F.size(F.array_distinct(words_of(line))) >= least
+    """Whether the line has ``least`` different words; one word shows at the first character."""
+    return F.ltrim(line, F.lit(_BLANKS)) != "" if least <= 1 else _size(_words(line)) >= least
+
+
+def _lines(docs: DataFrame, text: str, least: int) -> DataFrame:
+    """(doc_id, t, at, line, h, g): each different line of a document at its first place; t
+    hashes the text, h and g the line."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("t"), F.posexplode(F.array_distinct(F.split(body, "\n", -1))).alias("at", "line"))
+    return rows.where(_counts(F.col("line"), least)).select("*", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
+
+
+def _end(n: Column) -> Column:
+    """The length at which the class of ``n`` words ends: 4, 8, 16 and so on."""
+    return F.call_function("shiftleft", F.lit(2), F.greatest(F.lit(1), F.floor(F.log2(n.cast("double"))).cast("int")))
+
+
+def _classes(n: Column) -> Column:
+    """(parts, apart) of the classes in which a line of ``n`` words can meet others: into how
+    many parts words are dealt, and in how many words a match can differ at most."""
+    longest, end = F.floor(n * 5 / 4), _end(n)
+
+    def of(end: Column, apart: Column) -> Column:
+        parts = 1 + F.floor(2 * (end - 1) / 9)  # one more than may differ in the class
+        # Too few parts for a line of millions of words make it a thin one.
+        return F.struct(F.least(parts, F.lit(PARTS)).cast("int").alias("parts"), apart.cast("int").alias("apart"))
+
+    own = of(end, F.floor((n + F.least(longest, end - 1)) / 9))
+    return F.when(longest >= end, F.array(own, of(end * 2, F.floor(n / 4)))).otherwise(F.array(own))
+
+
+def _sets(docs: DataFrame, text: str, least: int) -> DataFrame:
+    """(h, n, parts, apart, tokens): the tokens of each different line, by class."""
+    lines = _lines(docs, text, least).select("h", "g", "line")
+    # Equal lines are combined before they are dealt by hash, so a hot line is one row a task.
+    lines = lines.groupBy("h", "g").agg(F.first("line").alias("line")).select("h", "g", F.explode(F.array(_words(F.col("line")))).alias("words"))
+    lines = lines.select("h", "g", "words", _size(F.col("words")).alias("n"))
+    lines = lines.select("h", "g", "words", "n", F.explode(_classes(F.col("n"))).alias("c")).select("h", "g", "words", "c.parts", F.expr("shiftleft(cast(n as bigint), 40) | shiftleft(cast(c.parts as bigint), 20)").alias("base"), "c.apart")
+    # Length, number of parts, what may differ and the part go in two numbers, as there is a row for each word.
+    words = lines.select("h", "g", "parts", "base", F.explode("words").alias("word")).where("word <> ''").select("h", "g", "parts", "base", F.xxhash64("word").alias("w"))
+    words = words.select("h", "g", F.col("base").bitwiseOR(F.pmod(F.shiftright("w", 20), F.col("parts"))).alias("part"), "w")
+    # Dealt by (h, g) already: neither sum moves a row.
+    tokens = words.groupBy("h", "g", "part").agg(F.bit_xor("w").alias("x"))
+    token = F.xxhash64(F.col("part").bitwiseAND(F.lit((1 << 40) - 1)), "x")
+    sets = tokens.groupBy("h", "g", F.shiftright("part", 20).alias("base")).agg(F.collect_list(token).alias("tokens"))
+    parts = F.col("base").bitwiseAND(F.lit((1 << 20) - 1)).cast("int")
+    sets = sets.select("h", F.shiftright("base", 20).cast("int").alias("n"), parts.alias("parts"), "tokens")
+    apart = F.filter(_classes(F.col("n")), lambda c: c["parts"] == F.col("parts"))[0]["apart"]
+    return sets.select("h", "n", "parts", apart.alias("apart"), "tokens")
+
+
+def _chosen(postings: DataFrame) -> DataFrame:
+    """(token, h, n, q, place, lines) of the postings (token, h, n, parts, apart, q, lines) of
+    repeated tokens that stand among the apart + 2 rarest of a line's q, where enough of them
+    stand in other such lines: lines that match share two of these, or as many more than
+    ``apart`` as a line has.  Steps are written, so that shuffle files of one at a time exist."""
+    # From the commonest down, so that tokens of no other line, the rarest, need not be there.
+    down = F.row_number().over(W.partitionBy("h", "parts").orderBy(F.col("lines").desc(), "token"))
+    rows = stage(postings.withColumn("place", F.col("q") + 1 - down).where("place <= apart + 2").drop("lines"), "placed")
+    shared = stage(rows.withColumn("lines", F.count("*").over(W.partitionBy("token"))).where("lines > 1").drop("lines"), "shared")
+    enough = F.count("*").over(W.partitionBy("h", "parts")) >= F.least(F.lit(2), F.col("q") - F.col("apart"))
+    kept = stage(shared.withColumn("enough", enough).where("enough").drop("enough", "parts", "apart"), "enough")
+    out = stage(kept.withColumn("lines", F.count("*").over(W.partitionBy("token"))).where("lines > 1"), "chosen")
+    unstage(rows, shared, kept)
+    return out.select("token", "h", "n", "q", "place", "lines")
+
+
+def _repeated(sets: DataFrame) -> list[DataFrame]:
+    """The postings of tokens that stand in more than one line, in PASSES tables."""
+    every = sets.select("h", "n", "parts", "apart", F.size("tokens").alias("q"), F.explode("tokens").alias("token"))
+    # The numbers of a line are one column while rows move.
+    packed = every.select("token", "h", F.expr("shiftleft(cast(n as bigint), 40) | shiftleft(cast(parts as bigint), 20) | q").alias("line"), "apart")
+    out = []
+    for k in range(PASSES):
+        rows = packed.where(F.pmod("token", F.lit(PASSES)) == k).withColumn("lines", F.count("*").over(W.partitionBy("token"))).where("lines > 1")
+        out.append(stage(rows, "repeated"))
+    return out
+
 
+def _may_match(a: str, b: str) -> Column:
+    """Length and place filters of two postings of one token."""
+    c = lambda t, x: F.col(f"{t}.{x}")
+    length = 5 * F.least(c(a, "n"), c(b, "n")) >= 4 * F.greatest(c(a, "n"), c(b, "n"))
+    return length & (F.greatest(c(a, "place"), c(b, "place")) <= F.floor((c(a, "n") + c(b, "n")) / 9) + 2)
 
-def _tokens(line: Column, cells: Column, least: int) -> Column:
-    """(n, bits, more_bits, prefix): words, 128 bits of parity and the rarest words' keys of a
-    line; null if it has under ``least`` words.  Parities of two lines differ in at most as many bits
-    as words stand in one line only, and long lines do not fill them up."""
 
-    def key(cells: Column, h: Column) -> Column:
-        level = F.ascii(F.substr(cells, h.bitwiseAND(F.lit(CELLS - 1)).cast("int") + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(level.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+def _parities(hashes: Column) -> Column:
+    """128 bits of parity; those of two lines differ in at most as many bits as words do."""
 
     # The sign picks the half, the last six bits the place in it.
-    def bits(hashes: Column, half: Callable[[Column], Column]) -> Column:
+    def bits(half: Callable[[Column], Column]) -> Column:
         one = lambda h: F.shiftrightunsigned(half(h), 63)
         place = lambda h: h.bitwiseAND(F.lit(63)).cast("int")
         return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", one(h), place(h))))
 
-    def shaped(hashes: Column) -> Column:
-        n = F.size(hashes)
-        prefix = let(cells, lambda c: F.sort_array(F.transform(hashes, lambda h: key(c, h))))
-        found = F.struct(n.alias("n"), bits(hashes, lambda h: h).alias("bits"), bits(hashes, F.bitwise_not).alias("more_bits"), F.slice(prefix, 1, n - F.ceil(n * 8 / 10).cast("int") + 1).alias("prefix"))
-        return F.when(n >= least, found)
-
-    return let(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), shaped)
-
+    return F.struct(bits(lambda h: h).alias("a"), bits(F.bitwise_not).alias("b"))
 
-def _postings(lines: DataFrame) -> DataFrame:
-    rows = lines.select("h", "doc_id", "at", "n", "bits", "more_bits", F.posexplode("prefix").alias("place", "key"))
-    return rows.where(F.shiftrightunsigned("key", 56) > ONCE)
 
+def _near(e: Column, l: Column) -> Column:  # noqa: E741
+    """Whether line ``e`` is earlier than ``l`` and passes the length, place and parity filters."""
+    total = e["n"] + l["n"]
+    length = 5 * F.least(e["n"], l["n"]) >= 4 * F.greatest(e["n"], l["n"])
+    place = F.greatest(e["place"], l["place"]) <= F.floor(total / 9) + 2
+    differ = F.bit_count(e["bits"]["a"].bitwiseXOR(l["bits"]["a"])) + F.bit_count(e["bits"]["b"].bitwiseXOR(l["bits"]["b"]))
+    return (e < l) & length & place & (differ <= total - 2 * F.ceil(total * 4 / 9))
 
-def _apart(a: str, b: str) -> Column:
-    """Parity bits in which two postings differ."""
-    bits = [F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in ("bits", "more_bits")]
-    return bits[0] + bits[1]
 
-
-def _may_match(a: str, b: str) -> Column:
-    """Length, place and bitmap filters of two postings with the same key."""
-    c = lambda t, x: F.col(f"{t}.{x}")
-    total = c(a, "n") + c(b, "n")
-    need = F.ceil(total * 4 / 9)
-    length = 5 * F.least(c(a, "n"), c(b, "n")) >= 4 * F.greatest(c(a, "n"), c(b, "n"))
-    place = F.least(c(a, "n") - c(a, "place"), c(b, "n") - c(b, "place")) >= need - F.least(c(a, "place"), c(b, "place"))
-    return length & place & (_apart(a, b) <= total - 2 * need)
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if it has few enough rows; else the shuffle joins it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _earlier(a: str, b: str) -> Column:
-    """Whether posting ``a``'s line comes before ``b``'s; a null id comes first."""
-    key = lambda t: F.struct(F.col(f"{t}.doc_id").alias("d"), F.col(f"{t}.at").alias("at"), F.col(f"{t}.h").alias("h"))
-    return key(a) < key(b)
+def _pairs(postings: DataFrame) -> DataFrame:
+    """(u, v) with u < v: lines that share enough of the tokens of ``postings``, each of FEW lines at most."""
+    a, b = postings.alias("e"), postings.alias("l")
+    met = a.join(b, F.col("e.token") == F.col("l.token")).where((F.col("e.h") < F.col("l.h")) & _may_match("e", "l"))
+    need = F.least(F.lit(2), F.greatest("e.q", "l.q") - F.floor((F.col("e.n") + F.col("l.n")) / 9))
+    met = met.groupBy(F.col("e.h").alias("u"), F.col("l.h").alias("v")).agg(F.count("*").alias("shared"), F.max(need).alias("need"))
+    return met.where("shared >= need").select("u", "v")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if it has few enough rows; else the shuffle joins it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """(h, g): the later line of each pair (u, v) whose words match."""
+    lines = known.where("words is not null").select("h", "g", "first", "words")
+    a, b = lines.alias("a"), lines.alias("b")
+    both = pairs.join(a, F.col("u") == F.col("a.h")).join(b, F.col("v") == F.col("b.h"))
+    share = 9 * F.size(F.array_intersect("a.words", "b.words")) >= 4 * (F.size("a.words") + F.size("b.words"))
+    key = lambda x: F.struct(f"{x}.first", f"{x}.h", f"{x}.g")
+    later = F.greatest(key("a"), key("b"))
+    return both.where(share & (key("a") != key("b"))).select(later["h"].alias("h"), later["g"].alias("g")).distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, lines: DataFrame, text: str) -> DataFrame:
-    """(later) of the pairs (earlier, later) whose words match."""
-    wanted = pairs.select(F.col("earlier").alias("h")).union(pairs.select("later")).distinct()
-    wanted = stage(lines.join(_small(wanted), "h", "left_semi").select(F.col("h").alias("wh"), F.col("doc_id").alias("wd")), "wanted")
-    rows = _lines(docs, text).join(_small(wanted), (F.col("h") == F.col("wh")) & F.col("doc_id").eqNullSafe(F.col("wd")), "left_semi")
-    words = stage(rows.select("h", F.array_distinct(words_of(F.col("line"))).alias("words")), "words")
-    both = pairs.join(words.toDF("earlier", "a"), "earlier").join(words.toDF("later", "b"), "later")
-    share = 9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))
-    return both.where(share).select(F.col("later").alias("h")).distinct()
+def _known(docs: DataFrame, text: str, least: int, wanted: DataFrame) -> DataFrame:
+    """(h, g, first, docs, crowded, words) of every line that stands in several documents or
+    is ``wanted`` (h, crowded); only the latter has words, as hashes."""
+    rows = _lines(docs, text, least).join(_small(wanted), "h", "left")
+    # An empty string is no word.
+    words = F.transform(F.array_remove(_words(F.col("line")), ""), lambda w: F.xxhash64(w))
+    rows = rows.select("h", "g", F.struct("doc_id", "t", "at").alias("first"), "crowded", F.when(F.col("crowded").isNotNull(), words).alias("words"))
+    out = rows.groupBy("h", "g").agg(F.min("first").alias("first"), F.count("*").alias("docs"), F.first("crowded").alias("crowded"), F.first("words").alias("words"))
+    return out.where("docs > 1 or words is not null")
 
 
 def matched_lines(docs: DataFrame, text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
-    """(h, doc_id, docs, near): lines that have equal or earlier near copies.  doc_id is the
-    first document of the line, docs how many have it, near whether an earlier line matches."""
-    cells = stage(rarity(docs, text), "rarity").scalar()
-    # The optimizer moves the one value of the subquery into its single use, so it is
-    # sent with the tasks and never copied into rows.
-    shaped = _lines(docs, text).withColumn("cells", cells).select("doc_id", "at", "h", _tokens(F.col("line"), F.col("cells"), least).alias("t"))
-    first = F.min(F.struct("doc_id", "at", "t.n", "t.bits", "t.more_bits", "t.prefix"))
-    lines = stage(shaped.groupBy("h").agg(first.alias("f"), F.count("*").alias("docs")).select("h", "docs", "f.*").where("n is not null"), "lines")
-
-    ids = [F.col("e.h").alias("earlier"), F.col("l.h").alias("later")]
-    line = F.struct("doc_id", "at", "h", "n", "bits", "more_bits", "place")
-    # One shuffle by key: the earlier lines of each posting come from windows over it.
-    of_key = W.partitionBy("key")
-    in_order = of_key.orderBy("doc_id", "at", "h")
-    dealt = _postings(lines).withColumn("lines", F.count("*").over(of_key)).where("lines > 1")
-    dealt = dealt.withColumn("before", F.collect_list(line).over(in_order.rowsBetween(-FEW, -1)))  # FEW at most
-    dealt = dealt.withColumn("first", F.first(line).over(in_order.rowsBetween(W.unboundedPreceding, 0)))
-    crowded = F.col("lines") > FEW
-    met = dealt.select("key", "lines", line.alias("l"), F.explode(F.when(crowded, F.array_append(F.slice("before", F.greatest(F.lit(1), F.size("before") - LAST + 1), LAST), F.col("first"))).otherwise(F.col("before"))).alias("e"))
-    # Words with many lines come along as rows without a pair, at their first line.
-    own = crowded & (F.col("e.h") == F.col("l.h"))
-    met = met.where(own | (_earlier("e", "l") & _may_match("e", "l")))
-    met = stage(met.select(*(F.when(~own, c).alias(n) for c, n in zip([*ids, _apart("e", "l")], ("earlier", "later", "apart"), strict=True)), F.when(own, F.col("key")).alias("key")).distinct(), "pairs")
-    pairs, many = met.where("key is null").drop("key"), met.where("key is not null").select("key")
-    # One match is enough: each line tries the earlier one of nearest parities first.
-    best = stage(pairs.groupBy("later").agg(F.min(F.struct("apart", "earlier")).alias("best")).select("best.earlier", "later"), "best")
-    found = stage(_verified(best, docs, lines, text), "found")
-    pairs = pairs.select("earlier", "later")
+    """(h, g, first, docs, near): lines that have equal or earlier near copies.  first is the
+    first place of the line, docs how many texts have it, near whether an earlier line matches."""
+    sets = stage(_sets(docs, text, least), "sets")
+    thin = stage(sets.where(F.size("tokens") <= F.col("apart")).select("h", "n", "parts"), "thin")
+    parts = _repeated(sets)
+    unstage(sets)
+    postings = parts[0]
+    for more in parts[1:]:
+        postings = postings.union(more)
+    n, q = F.shiftright("line", 40).cast("int"), F.col("line").bitwiseAND(F.lit((1 << 20) - 1)).cast("int")
+    postings = postings.select("token", "h", n.alias("n"), F.shiftright("line", 20).bitwiseAND(F.lit((1 << 20) - 1)).cast("int").alias("parts"), q.alias("q"), "apart", "lines")
+    chosen = _chosen(postings)
+    unstage(*parts)
+    pairs = few = stage(_pairs(chosen.where(F.col("lines") <= FEW)), "pairs")
+    crowd = chosen.where(F.col("lines") > FEW)
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("h"), F.lit(False).alias("crowded"))
+    wanted = wanted.union(crowd.select("h", F.lit(True))).union(thin.select("h", F.lit(True))).groupBy("h").agg(F.max("crowded").alias("crowded"))
+    known = stage(_known(docs, text, least, stage(wanted, "wanted")), "known")
+
+    # Thin lines meet by their rarest words, counted among thin lines.
+    rare = thin.join(known.where("words is not null"), "h").select("h", "n", "parts", F.floor(F.col("n") / 5).cast("int").alias("apart"), F.col("n").alias("q"), F.explode("words").alias("w"))
+    rare = rare.withColumn("token", F.xxhash64(F.lit("thin"), "parts", "w")).drop("w").withColumn("lines", F.count("*").over(W.partitionBy("token"))).where("lines > 1")
+    down = F.row_number().over(W.partitionBy("h", "parts").orderBy(F.col("lines").desc(), "token"))
+    rare = rare.withColumn("place", F.col("q") + 1 - down).where("place <= apart + 1").select("token", "h", "n", F.lit(0).alias("q"), F.lit(0).alias("place"))
+    rare = stage(rare.withColumn("lines", F.count("*").over(W.partitionBy("token"))).where("lines > 1"), "rare")
+    pairs = pairs.union(_pairs(rare.where(F.col("lines") <= FEW)))
+
+    # The order comes first, so the least of these structs is the earliest line.
+    lines = known.where("crowded").select("h", "g", "first", _parities(F.col("words")).alias("bits"))
+    line = F.struct("first.doc_id", "first.t", "first.at", "h", "g", "n", "place", "bits")
+    crowd = crowd.union(rare.where(F.col("lines") > FEW)).join(lines, "h")
+    rarest = F.row_number().over(W.partitionBy("h", "g").orderBy("lines", "token")) == 1
+    crowd = stage(crowd.select("token", line.alias("l"), rarest.alias("rarest")), "crowd")
+    before = W.partitionBy("token").orderBy("l")
+    near = F.array(F.first("l").over(before.rowsBetween(W.unboundedPreceding, 0)), *(F.lag("l", k).over(before) for k in range(1, LAST + 1)))
+    # A line tries its neighbours in one token first, so crowds cost rows in proportion to their lines.
+    some = crowd.select("l", "rarest", near.alias("near")).where("rarest")
+    some = some.select("l", F.explode(F.filter("near", lambda e: _near(e, F.col("l")))).alias("e"))
+    ids = [F.col("e.h").alias("u"), F.col("l.h").alias("v")]
+    found = stage(_verified(pairs.union(some.select(*ids)).distinct(), known), "found")
 
     # Equal words in another order or spacing are near copies too; their hashes differ.
-    every = _postings(lines).join(_small(many), "key", "left_semi")
-    open_ = every.join(_small(found), "h", "left_anti").select("key", line.alias("l"))
-    met = open_.join(every.select("key", line.alias("e")), "key").where(_earlier("e", "l") & _may_match("e", "l"))
-    rest = pairs.join(_small(found.withColumnRenamed("h", "later")), "later", "left_anti").unionByName(met.select(*ids)).distinct()
-    more = stage(rest.join(best, ["earlier", "later"], "left_anti"), "pairs")
-    found = found.union(_verified(more, docs, lines, text))
-    near = found.withColumn("near", F.lit(True))
-    out = lines.select("h", "doc_id", "docs").join(near, "h", "left").withColumn("near", F.coalesce("near", F.lit(False)))
-    return out.where("near or docs > 1")
-
-
-def removals(docs: DataFrame, text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
-    """(_lost_id, _lost): the lines that each document loses to other lines, if any."""
-    bad = stage(matched_lines(docs, text, least), "matched")
-    small = _small(bad.select(F.col("h").alias("bh"), F.col("doc_id").alias("first"), "near"))
-    lost = _lines(docs, text).join(small, F.col("h") == F.col("bh")).where(F.col("near") | ~F.col("doc_id").eqNullSafe(F.col("first")))
-    return lost.groupBy(F.col("doc_id").alias("_lost_id")).agg(F.collect_set("line").alias("_lost"))  # lines of one document
-
-
-def without_lines(docs: DataFrame, text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with later matches removed from ``text``, and the columns _lines_gone and
-    _was_blank.  Lines that stay keep their order; those under ``least`` words stay as often as they came."""
-    gone = removals(docs, text, least)
-    body = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-
-    # A line of enough words is marked alike wherever it stands, so array_except drops lines removed
-    # and lines repeated in one linear pass; another is marked by its place and stays.
-    marked = F.transform(body, lambda x, i: F.when(_counts(x, least), F.concat(F.lit(":"), x)).otherwise(F.concat(i.cast("string"), F.lit(":"), x)))
-    lost = F.transform(F.coalesce(F.col("_lost"), F.array().cast("array<string>")), lambda x: F.concat(F.lit(":"), x))
-    left = F.transform(F.array_except(marked, lost), lambda x: F.substr(x, F.instr(x, ":") + 1))
-    kept = F.when(F.col("_lost").isNull() & (F.size(F.array_distinct(body)) == F.size(body)), body).otherwise(left)
-    # Texts that lose nothing to others need not move to meet what they lose.
-    gone = stage(gone, "lost")
-    ids = _small(gone.select("_lost_id"))
-    has = F.col("doc_id").cast("long").eqNullSafe(F.col("_lost_id"))
-    loses = docs.join(ids, has, "left_semi").join(gone, has, "left")
-    rest = docs.join(ids, has, "left_anti")
-    out = loses.unionByName(rest, allowMissingColumns=True)
-    blank = F.trim(F.translate(F.coalesce(F.col(text), F.lit("")), "\t\n\x0b\x0c\r", "     ")) == ""
-    out = out.withColumn("_was_blank", blank).withColumn("_kept", F.when(F.col(text).isNull(), None).otherwise(kept))
-    out = out.withColumn("_lines_gone", F.coalesce(F.size(body) - F.size("_kept"), F.lit(0)).cast("long"))
-    return out.withColumn(text, F.array_join("_kept", "\n")).drop("_lost_id", "_lost", "_kept")
+    crowd = crowd.select("token", "l")
+    open_ = crowd.join(_small(found), (F.col("l.h") == F.col("h")) & (F.col("l.g") == F.col("g")), "left_anti")
+    rest = open_.join(crowd.select("token", F.col("l").alias("e")), "token").where(_near(F.col("e"), F.col("l")))
+    found = found.union(_verified(rest.select(*ids).distinct(), known)).distinct().withColumn("near", F.lit(True))
+    out = known.select("h", "g", "first", "docs").join(_small(stage(found, "found")), ["h", "g"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
+    out = stage(out.where("near or docs > 1"), "matched")
+    unstage(thin, few, known, rare, crowd)
+    return out
+
+
+def _places(docs: DataFrame, text: str, least: int) -> DataFrame:
+    """(doc_id, t, lost): the places, among a document's different lines, of those it loses."""
+    bad = matched_lines(docs, text, least).select("h", "g", "first", "near")
+    lost = _lines(docs, text, least).drop("line").join(_small(bad), ["h", "g"])
+    lost = lost.where(F.col("near") | ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("t") != F.col("first.t")))
+    return lost.groupBy("doc_id", "t").agg(F.collect_set("at").alias("lost"))  # lines of one document
+
+
+def _cleaned(docs: DataFrame, text: str, least: int) -> DataFrame:
+    """(row, kept, gone, blank): each row of ``docs`` as a struct, its text without later
+    matches, how many lines went and whether there was a word before."""
+    lost = stage(_places(docs, text, least), "lost")
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("t"), F.col(text).alias("text"))
+    lost = lost.select(F.col("doc_id").alias("lost_id"), F.col("t").alias("lost_t"), "lost")
+    rows = rows.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")) & (F.col("t") == F.col("lost_t")), "left")
+
+    def kept(every: Column) -> Column:
+        """The lines left.  One of enough words is marked alike wherever it stands, so array_except
+        drops lines lost and lines repeated in one linear pass; another is marked by its place and stays."""
+        once = F.array_distinct(every)
+        marked = F.transform(every, lambda x, i: F.when(_counts(x, least), F.concat(F.lit(":"), x)).otherwise(F.concat(i.cast("string"), F.lit(":"), x)))
+        gone = F.transform(F.coalesce("lost", F.array().cast("array<int>")), lambda i: F.concat(F.lit(":"), F.get(once, i)))
+        left = F.transform(F.array_except(marked, gone), lambda x: F.substr(x, F.instr(x, ":") + 1))
+        whole = F.col("lost").isNull() & (F.size(once) == F.size(every))
+        return F.struct(F.when(whole, F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"), F.when(whole, 0).otherwise(F.size(every) - F.size(left)).cast("long").alias("gone"))
+
+    found = let(F.split(F.coalesce("text", F.lit("")), "\n", -1), kept)
+    rows = rows.select("row", "text", F.explode(F.array(found)).alias("k"))
+    return rows.select("row", F.when(F.col("text").isNotNull(), F.col("k.text")).alias("kept"), F.col("k.gone").alias("gone"), (F.ltrim(F.coalesce("text", F.lit("")), F.lit(_BLANKS + "\n")) == "").alias("blank"))
+
+
+def _columns(docs: DataFrame, text: str) -> list[Column]:
+    return [(F.col("kept") if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns]
+
+
+def without_lines(docs: DataFrame, text: str = "text", least: int = LEAST_WORDS, gone: str = "_lines_gone") -> DataFrame:
+    """``docs`` with later matches removed from ``text``, and how many lines went as the column
+    ``gone`` (with more underscores in front where the name is taken).  Lines that stay keep
+    their order; those under ``least`` words stay as often as they came."""
+    return _cleaned(docs, text, least).select(*_columns(docs, text), F.col("gone").alias(fresh(docs, gone)))
 
 
 def dedup(docs: DataFrame, text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """The columns of ``docs`` with later matches removed; documents left without a line go."""
-    out = without_lines(docs, text, least)
-    left = F.trim(F.translate(F.coalesce(F.col(text), F.lit("")), "\t\n\x0b\x0c\r", "     ")) != ""
-    return out.where(F.col("_was_blank") | (F.col("_lines_gone") == 0) | left).select(*docs.columns)
+    out = _cleaned(docs, text, least)
+    left = F.ltrim(F.coalesce("kept", F.lit("")), F.lit(_BLANKS + "\n")) != ""
+    return out.where(F.col("blank") | (F.col("gone") == 0) | left).select(*_columns(docs, text))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
