@@ -179,7 +179,7 @@ def _diagnostics(found: DataFrame, to: str | None) -> int:
         return 0
     try:
         with open(to, "w", encoding="utf-8") as f:
-            for r in found.select(F.to_json(F.struct("severity", "code", "message", F.col("obj_path").alias("path"))).alias("line")).toLocalIterator():
+            for r in found.select(F.to_json(F.struct("severity", "code", "message", F.col("obj_path").alias("path"), "offset", "len")).alias("line")).toLocalIterator():
                 f.write(f"{r.line}\n")
     except OSError as e:
         print(f"warning: failed to write diagnostics to {to}: {e}", file=sys.stderr)

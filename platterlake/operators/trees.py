@@ -1,4 +1,4 @@
-"""Tree walks over edge tables of known depth."""
+"""Tree walks over edge tables: of known depth, or to the end with a visited set."""
 
 from __future__ import annotations
 
@@ -19,3 +19,22 @@ def walk(levels: list[DataFrame], root: str = "$") -> DataFrame:
         at = level.join(up, "parent").select("id", F.concat_ws(".", "above", "leaf").alias("path"), F.lit(k).alias("depth"))
         out.append(at)
     return reduce(DataFrame.union, out)
+
+
+def reach(edges: DataFrame, root: str | int, kind: str = "string", most: int = 10_000) -> DataFrame:
+    """(id, depth): what can be reached from ``root`` over ``edges`` (parent, child), and by how
+    many steps at least.  A node is visited once, so cycles end.
+
+    A step joins the nodes found last, and all steps cost one row an edge.  Each is checkpointed
+    where the session has a checkpoint folder, so plans stay short and a lost executor costs a step.
+    """
+    spark = edges.sparkSession
+    keep = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df)
+    seen = last = spark.range(1).select(F.lit(root).cast(kind).alias("id"), F.lit(0).alias("depth"))
+    for k in range(1, most + 1):
+        step = edges.join(last.select(F.col("id").alias("parent")), "parent").select(F.col("child").cast(kind).alias("id")).distinct()
+        last = keep(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(k).alias("depth")))
+        if last.isEmpty():
+            return seen
+        seen = keep(seen.union(last))
+    raise RuntimeError("the walk did not end")

@@ -12,7 +12,7 @@ from ..functions import columns as C
 from ..operators import extents as X
 from ..operators import volumes as V
 from ..operators.ranges import previous, running_sum
-from ..operators.trees import walk
+from ..operators.trees import reach, walk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -79,6 +79,20 @@ def linked_list_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.chain_lengths(table(spark, sf_dir, "conversations"), "conv_id", "turn").withColumnRenamed("last", "last_turn")
 
 
+@query("""
+WITH RECURSIVE n AS (SELECT max(p_partkey) AS n FROM part),
+e AS (SELECT p_partkey AS parent, unnest([p_partkey * 2 % n, (p_partkey * 2 + 1) % n]) AS child FROM part, n),
+w AS (SELECT 1::BIGINT AS id, 0 AS depth UNION SELECT CAST(e.child AS BIGINT), w.depth + 1 FROM w JOIN e ON e.parent = w.id WHERE w.depth < 30)
+SELECT id, min(depth) AS depth FROM w GROUP BY id
+""")
+def cycle_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of a graph with cycles, each visited once."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("parent"))
+    n = part.agg(F.max("parent")).first()[0] or 1
+    edges = part.select("parent", F.explode(F.array(F.col("parent") * 2 % n, (F.col("parent") * 2 + 1) % n)).alias("child"))
+    return reach(edges, 1, "long")
+
+
 # --- counts and reports ------------------------------------------------------------
 
 @query("""

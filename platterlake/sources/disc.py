@@ -29,10 +29,12 @@ SCHEMAS = {
     "directories": "path string, partition string, dir_path string, depth int, visit_ord int, title string, is_broken boolean, anomalies array<string>, warnings array<string>, status string",
     "objects": "path string, partition string, dir_path string, entry_ord int, object_path string, name string, name_bytes binary, load long, exec long, length long, attrs long, is_directory boolean, sin long, filetype int, modified_unix_secs long, host_leaf string, host_leaf_substituted boolean",
     "extents": "path string, partition string, object_path string, entry_ord int, ord int, disc_addr long, len long",
-    "zones": "path string, partition string, zone int, check_ok boolean",
+    "zones": "path string, partition string, zone int, check_ok boolean, used_backup boolean, cross_check int",
+    "old_maps": "path string, partition string, total_sectors long, disc_id long, boot_option int, sector0_checksum_ok boolean, sector1_checksum_ok boolean, free_extents int",
+    "free_extents": "path string, partition string, ord int, start long, len long",
     "fragments": "path string, partition string, fragment_id long, ord int, disc_addr long, len long",
     "content": "path string, partition string, object_path string, host_path string, bytes binary, written long, crc32 long, modified_unix_secs long, inf string",
-    "diagnostics": "path string, partition string, seq int, severity string, code string, message string, obj_path string",
+    "diagnostics": "path string, partition string, seq int, severity string, code string, message string, obj_path string, zone int, stored int, computed int, field string, boot string, zone0 string, details string, offset long, len long",
     "folders": "path string, partition string, host_path string",
     "verify": "path string, partition string, directories long, files long, unreadable long, status string, error string",
     "failures": "path string, partition string, task string, error string",
@@ -100,30 +102,37 @@ def walk(v: Volume) -> Iterator[Visit]:
         stack += [(f"{path}.{e.name}", depth + 1, e, entry.sin) for e in visit.listing.entries if e.is_dir]
 
 
-def _diagnose(v: Volume, visits: list[Visit]) -> tuple[list[tuple[str, str, str | None]], dict]:
-    found = [(c, m, None) for c, m in v.faults()]
+#: How the messages of directory and file faults begin: fixed values.
+SAID = {"unreadable_directory": "unreadable directory", "broken_directory": "broken directory", "directory_warning": "directory warning", "unreadable_file": "unreadable file"}
+
+
+def _diagnose(v: Volume, visits: list[Visit]) -> tuple[list[dict], dict]:
+    """Diagnostics with what they carry, and the counts of a verification."""
+    found = [{"code": c, "message": m} | payload for c, m, payload in v.faults()]
     count = {"directories": 0, "files": 0, "unreadable": 0}
 
-    def bad(code: str, message: str, path: str) -> None:
-        found.append((code, message, path))
-        count["unreadable"] += 1
+    def say(code: str, details: str, path: str) -> None:
+        found.append({"code": code, "message": f"{SAID[code]}: {details}", "details": details, "obj_path": path})
+        count["unreadable"] += FAULTS[code] == "damage"
 
     for x in visits:
         if x.listing is None:
-            bad("directory_cycle", "directory cycle detected", x.path)
+            found.append({"code": "directory_cycle", "message": "directory cycle detected", "obj_path": x.path})
+            count["unreadable"] += 1
             continue
         count["directories"] += 1
         if x.error:
-            bad("unreadable_directory", f"unreadable directory: {x.error}", x.path)
+            say("unreadable_directory", x.error, x.path)
             continue
         if x.listing.broken:
-            bad("broken_directory", "broken directory: " + "; ".join(x.listing.anomalies), x.path)
-        found += [("directory_warning", f"directory warning: {w}", x.path) for w in x.listing.warnings]
+            say("broken_directory", "; ".join(x.listing.anomalies), x.path)
+        for w in x.listing.warnings:
+            say("directory_warning", w, x.path)
         for e in x.listing.entries:
             if not e.is_dir:
                 count["files"] += 1
                 if e.length and not e.runs:
-                    bad("unreadable_file", "unreadable file: no disc extents resolved (missing fragment?)", f"{x.path}.{e.name}")
+                    say("unreadable_file", "no disc extents resolved (missing fragment?)", f"{x.path}.{e.name}")
     return found, count
 
 
@@ -225,9 +234,15 @@ def _rows(path: str, data: bytes, what: str, options: Options) -> Iterator[dict]
 
 def _volume_rows(own: dict, v: Volume, what: str, options: Options, size: int, several: bool) -> Iterator[dict]:
     try:
+        old = isinstance(v, FileCore) and v.map_type == "old"
         if what == "zones":
-            zones = v.map.ok if isinstance(v, FileCore) and v.map else []
-            yield from ({**own, "zone": z, "check_ok": ok} for z, ok in enumerate(zones))
+            zones = zip(v.map.ok, v.map.backups, v.map.checks, strict=True) if isinstance(v, FileCore) and v.map else []
+            yield from ({**own, "zone": z, "check_ok": ok, "used_backup": backup, "cross_check": check} for z, (ok, backup, check) in enumerate(zones))
+        elif what == "old_maps":
+            if old:
+                yield own | {"total_sectors": v.total, "disc_id": v.id, "boot_option": v.option, "sector0_checksum_ok": v.map_ok[0], "sector1_checksum_ok": v.map_ok[1], "free_extents": len(v.free)}
+        elif what == "free_extents":
+            yield from ({**own, "ord": i, "start": at, "len": n} for i, (at, n) in enumerate(v.free if old else []))
         elif what == "fragments":
             runs = v.map.runs if isinstance(v, FileCore) and v.map else {}
             yield from ({**own, "fragment_id": f, "ord": i, "disc_addr": a, "len": n} for f, rs in runs.items() for i, (a, n) in enumerate(rs))
@@ -263,7 +278,7 @@ def _walked(own: dict, v: Volume, what: str, size: int) -> Iterator[dict]:
         if what == "verify":
             yield own | count | {"status": "ok"}
         else:
-            yield from ({**own, "seq": i, "severity": FAULTS[c], "code": c, "message": m, "obj_path": p} for i, (c, m, p) in enumerate(found))
+            yield from ({**own, "seq": i, "severity": FAULTS[x["code"]], **x} for i, x in enumerate(found))
     for ord_, x in enumerate(visits):
         if what == "directories":
             x_ = x.listing or Listing()

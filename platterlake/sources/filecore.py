@@ -78,6 +78,14 @@ def zone_check(sector: bytes) -> int:
     return _folded(total - sector[0] & 0xFFFFFFFF)
 
 
+def old_map_check(sector: bytes) -> int:
+    """The check byte of one sector of an old map: from its end, with the carry added back."""
+    total = 255
+    for x in reversed(sector[:255]):
+        total = (total + 1 & 255 if total > 255 else total) + x
+    return total & 255
+
+
 def boot_check(block: bytes) -> int:
     s = 0
     for b in block[:511]:
@@ -118,15 +126,17 @@ class ZoneMap:
     """
 
     def __init__(self, image: Image, r: Record) -> None:
-        self.record, self.ok, zones = r, [], []
+        self.record, self.ok, self.backups, self.checks, zones = r, [], [], [], []
         for z in range(r.nzones):
             copies = [image.read(r.map_addr + k * r.sector, r.sector) for k in (z, r.nzones + z)]
             good = [zone_check(c) == c[0] for c in copies]
             self.ok.append(any(good))
-            zones.append(copies[1] if good[1] and not good[0] else copies[0])
+            self.backups.append(good[1] and not good[0])
+            zones.append(copies[self.backups[-1]])
+            self.checks.append(zones[-1][3])
         self.cross = 0
-        for raw in zones:
-            self.cross ^= raw[3]
+        for check in self.checks:
+            self.cross ^= check
         self.zone0 = Record.parse(zones[0][4:64])
         self.runs: dict[int, list[Run]] = defaultdict(list)
         self._decode(zones)
@@ -197,7 +207,7 @@ class FileCore(Volume):
     def _old(self, root: int, size: int) -> None:
         self.map_type, self.dir_type, self.dir_size = "old", "old" if size == SMALL else "new", size
         s0, s1 = self.image.read(0, 256), self.image.read(256, 256)
-        self.total = number(s0[0xFC:0xFF])
+        self.total, self.map_ok = number(s0[0xFC:0xFF]), [old_map_check(x) == x[0xFF] for x in (s0, s1)]
         name = bytes(x for pair in zip(s0[0xF7:0xFC], s1[0xF6:0xFB], strict=True) for x in pair)
         self.name, self.id, self.option = text(until(name, b"\0")), number(s1[0xFB:0xFD]), s1[0xFD]
         self.free = [(number(s0[k : k + 3]), number(s1[k : k + 3])) for k in range(0, min(s1[0xFE] // 3, 82) * 3, 3)]
@@ -268,7 +278,8 @@ class FileCore(Volume):
         if keys != sorted(keys):
             out.warnings.append("directory entries are not in case-insensitive collation order")
         if self.map_type == "new" and parent_sin is not None and parent != parent_sin:
-            out.warnings.append(f"directory parent SIN mismatch: stored {parent:#x}, expected {parent_sin:#x}")
+            width = 8 if self.dir_type == "big" else 6
+            out.warnings.append(f"directory parent SIN mismatch: stored {parent:#0{width}x}, expected {parent_sin:#0{width}x}")
         return out
 
     def _add(self, out: Listing, e: Entry, sin: int) -> None:
@@ -350,16 +361,18 @@ class FileCore(Volume):
         boot_ok = None if self.boot is None else boot_check(self.boot) == self.boot[511]
         return out | {"disc_name": text(until(r.disc_name, b"\0")), "disc_id": r.disc_id, "disc_size": r.disc_size, "sector_size": r.sector, "boot_option": r.boot_option, "boot_block_checksum_ok": boot_ok, "zone_checksum_ok_count": sum(m.ok), "zone_checksum_total": len(m.ok), "cross_check_ok": m.cross == 255}
 
-    def faults(self) -> list[tuple[str, str]]:
+    def faults(self) -> list[tuple[str, str, dict]]:
         out = []
         if self.map:
-            out += [("zone_checksum_mismatch", f"zone {z} checksum mismatch") for z, ok in enumerate(self.map.ok) if not ok]
+            out += [("zone_checksum_mismatch", f"zone {z} checksum mismatch", {"zone": z}) for z, ok in enumerate(self.map.ok) if not ok]
             if self.map.cross != 255:
-                out.append(("zone_cross_check_mismatch", f"zone CrossCheck XOR is {self.map.cross:#04x}, expected 0xff"))
+                out.append(("zone_cross_check_mismatch", f"zone CrossCheck XOR is {self.map.cross:#04x}, expected 0xff", {"stored": self.map.cross, "computed": 255}))
             for f in GEOMETRY:
                 a, b = getattr(self.record, f), getattr(self.map.zone0, f)
                 if a != b:
-                    out.append(("disc_record_geometry_mismatch", f"disc record {f} differs between boot block ({a}) and zone 0 ({b}); keeping boot-block geometry"))
+                    what = f"disc record {f} differs between boot block ({a}) and zone 0 ({b}); keeping boot-block geometry"
+                    out.append(("disc_record_geometry_mismatch", what, {"field": f, "boot": str(a), "zone0": str(b)}))
         if self.boot is not None and boot_check(self.boot) != self.boot[511]:
-            out.append(("boot_block_checksum_mismatch", f"boot block checksum mismatch: stored {self.boot[511]:#04x}, computed {boot_check(self.boot):#04x}"))
+            stored, computed = self.boot[511], boot_check(self.boot)
+            out.append(("boot_block_checksum_mismatch", f"boot block checksum mismatch: stored {stored:#04x}, computed {computed:#04x}", {"stored": stored, "computed": computed}))
         return out

@@ -133,6 +133,6 @@ class Volume:
     def info(self) -> dict:
         raise NotImplementedError
 
-    def faults(self) -> list[tuple[str, str]]:
-        """(code, message) of what the volume's own structures have wrong."""
+    def faults(self) -> list[tuple[str, str, dict]]:
+        """(code, message, payload) of what the volume's own structures have wrong."""
         return []

@@ -4,6 +4,7 @@ open images by themselves, for images on paths that the executors share."""
 from __future__ import annotations
 
 import glob
+import mmap
 import os
 from collections.abc import Iterator
 
@@ -36,8 +37,9 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         what = self.options.get("table", "volumes")
+        # Decoders seek in the file, so no more of a large image is held than what they read.
         with open(partition.value, "rb") as f:
-            data = f.read()
+            data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if os.path.getsize(partition.value) else b""
         try:
             for row in _rows(partition.value, data, what, Options(partition=self.options.get("partition"))):
                 yield tuple(row.get(n) for n in self.names)

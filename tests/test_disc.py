@@ -109,7 +109,7 @@ def test_new_map_faults():
     assert open_volumes(bytes(one))[0][1].faults() == [] and files(bytes(one)) == {"$.A": b.FILE}
     two = bytearray(one)
     two[at + 1024 + 200] ^= 1
-    assert [c for c, _ in open_volumes(bytes(two))[0][1].faults()] == ["zone_checksum_mismatch"]
+    assert [c for c, *_ in open_volumes(bytes(two))[0][1].faults()] == ["zone_checksum_mismatch"]
     broken = bytearray(image)
     broken[v.root_runs[0][0] + 0x7FF] ^= 255
     with pytest.raises(BrokenDirectory):
