@@ -163,3 +163,34 @@ def kept_documents(df: DataFrame, text: str = "text") -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     return verdicts(table(spark, sf_dir, "documents")).select("doc_id", *STATS[:5], "base_failed", "kept")
+
+
+#: The same, from sorted lists of values in place of sketches.
+OP10_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+g AS (SELECT r, i, array_to_string(list_slice(w, i, i + 4), ' ') AS gram FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+c AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM g) WHERE n > 1) GROUP BY r),
+s AS (SELECT d.r, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+  CAST(len(l) AS BIGINT) AS n_lines, CAST(len(regexp_extract_all(t, '[A-Z]')) AS BIGINT) AS n_capitals, CAST(len(regexp_extract_all(t, '[!?]')) AS BIGINT) AS n_marks FROM d LEFT JOIN c ON d.r = c.r),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s),
+m AS (SELECT r, lang, source, base_failed, unnest([
+  {'m': 'symbols', 'v': CASE WHEN word_chars > 0 THEN 1000 * n_symbols // word_chars ELSE 0 END, 'least': 15, 'below': FALSE},
+  {'m': 'dup_lines', 'v': CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END, 'least': 120, 'below': FALSE},
+  {'m': 'repeats', 'v': CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END, 'least': 60, 'below': FALSE},
+  {'m': 'capitals', 'v': CASE WHEN word_chars > 0 THEN 1000 * n_capitals // word_chars ELSE 0 END, 'least': 80, 'below': FALSE},
+  {'m': 'marks', 'v': CASE WHEN word_chars > 0 THEN 1000 * n_marks // word_chars ELSE 0 END, 'least': 30, 'below': FALSE},
+  {'m': 'word_length', 'v': CASE WHEN n_words > 0 THEN 10 * word_chars // n_words ELSE 0 END, 'least': 8, 'below': TRUE}], recursive := TRUE) FROM b),
+v AS (SELECT r, lang, source, base_failed, m, least, below, CASE WHEN v <= 1000 THEN v ELSE 1000 + CAST(floor(100 * log2(v / 1000)) AS BIGINT) END AS v FROM m),
+a AS (SELECT m, list_sort(list(v)) AS x FROM v WHERE NOT base_failed GROUP BY m),
+k AS (SELECT m, lang, list_sort(list(v)) AS x FROM v WHERE NOT base_failed GROUP BY m, lang),
+o AS (SELECT m, lang, source, list_sort(list(v)) AS x FROM v WHERE NOT base_failed GROUP BY m, lang, source),
+q AS (SELECT o.m, o.lang, o.source,
+  (len(o.x) * o.x[greatest(1, CAST(ceil(0.25 * len(o.x)) AS BIGINT))] + 30 * (CAST(len(k.x) * k.x[greatest(1, CAST(ceil(0.25 * len(k.x)) AS BIGINT))] + 30 * a.x[greatest(1, CAST(ceil(0.25 * len(a.x)) AS BIGINT))] AS DOUBLE) / (len(k.x) + 30))) / (len(o.x) + 30) AS q1,
+  (len(o.x) * o.x[greatest(1, CAST(ceil(0.75 * len(o.x)) AS BIGINT))] + 30 * (CAST(len(k.x) * k.x[greatest(1, CAST(ceil(0.75 * len(k.x)) AS BIGINT))] + 30 * a.x[greatest(1, CAST(ceil(0.75 * len(a.x)) AS BIGINT))] AS DOUBLE) / (len(k.x) + 30))) / (len(o.x) + 30) AS q3
+  FROM o JOIN k ON o.m = k.m AND o.lang IS NOT DISTINCT FROM k.lang JOIN a ON o.m = a.m),
+f AS (SELECT v.r, bool_and(v.v <= q.q3 + 3 * greatest(q.q3 - q.q1, v.least) AND (v.v >= CASE WHEN v.below THEN q.q1 - 3 * greatest(q.q3 - q.q1, v.least) ELSE 0 END)) AS inside
+  FROM v JOIN q ON v.m = q.m AND v.lang IS NOT DISTINCT FROM q.lang AND v.source IS NOT DISTINCT FROM q.source GROUP BY v.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(inside, TRUE) AS kept FROM b LEFT JOIN f ON b.r = f.r
+"""

@@ -13,7 +13,7 @@ from .line_dedup import op3_line_dedup
 from .lm import op7_lm_scoring
 from .mixing import OP6_SQL, op6_mixing
 from .pii import op1_pii
-from .quality_rules import op10_quality_rules
+from .quality_rules import OP10_SQL, op10_quality_rules
 from .simhash import op2_simhash
 from .token_counts import op9_token_counts
 
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_chat": OP5_SQL, "op6_mixing": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_chat": OP5_SQL, "op6_mixing": OP6_SQL, "op10_quality_rules": OP10_SQL}

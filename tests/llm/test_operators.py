@@ -487,6 +487,10 @@ def test_quality_counts_equal_brute_force(spark, sf):
         n = brute(texts[r.doc_id])
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == n
         assert r.base_failed == (n[0] < 10 or 100 * n[4] > 20 * n[0]) and not (r.kept and r.base_failed)
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = con.sql(quality_rules.OP10_SQL)
+    assert sorted(map(tuple, quality_rules.op10_quality_rules(spark, sf).select(*want.columns).collect())) == sorted(want.fetchall())
     many = [b"%d" % i for i in range(9000)]
     assert quality_rules.repeated_words(many + many[:7]) == 14
 
