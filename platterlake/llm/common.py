@@ -6,6 +6,8 @@ UTF-8; in Spark it is :data:`GAP` as a separator.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -35,6 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     global _local
     if _local is None:
         _local = tempfile.mkdtemp(prefix="platterlake-")
+        atexit.register(shutil.rmtree, _local, ignore_errors=True)
     return _local
 
 

@@ -28,6 +28,8 @@ from .common import stage, table
 
 WEIGHTS, SHARE_PERCENT, MOST_COPIES, BINS = (5, 2, 1), 150, 2, 4096
 SEED = "pareto"
+#: Sources sent to every executor at most; more are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 
 
 def sizes(df: DataFrame, text: str = "text") -> DataFrame:
@@ -109,7 +111,10 @@ def mix(docs: DataFrame) -> DataFrame:
     src = src.withColumn("sure", F.when(F.col("source_size") > 0, F.least(F.lit(MOST_COPIES), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long"))
     src = src.withColumn("rest", F.col("target") - F.col("sure") * F.col("source_size"))
     x = docs.join(src, F.col("source").eqNullSafe(F.col("s")))
-    x = numbered(docs).join(src.join(odds(x), F.col("s").eqNullSafe(F.col("o")), "left"), F.col("source").eqNullSafe(F.col("s")))
+    src = stage(src.join(odds(x), F.col("s").eqNullSafe(F.col("o")), "left").drop("o"), "sources")
+    # One row a source goes to every executor, so that a source with most rows is not dealt to one task.
+    small = F.broadcast if src.count() <= BROADCAST_SOURCES else (lambda df: df)
+    x = numbered(docs).join(small(src), F.col("source").eqNullSafe(F.col("s")))
     drawn = (F.col("rest") > 0) & (F.col("size") > 0)
     chance = F.coalesce(F.least(F.col("scale") * _root().cast("double"), F.lit(1.0)), F.lit(1.0))
     x = x.withColumn("u", _uniform()).withColumn("p", F.when(drawn, chance)).withColumn("left", F.col("rest") - F.coalesce("certain", F.lit(0.0)))
@@ -119,9 +124,9 @@ def mix(docs: DataFrame) -> DataFrame:
 
     # The bin in which the draw ends, then the fine bin inside it.
     ends = _end(x.where("bin is not null").withColumn("start", F.lit(0.0)), "bin").toDF("e", "end_bin", "start")
-    x = x.join(ends, F.col("source").eqNullSafe(F.col("e")), "left").drop("e")
+    x = x.join(small(ends), F.col("source").eqNullSafe(F.col("e")), "left").drop("e")
     ends = _end(x.where("bin = end_bin"), "fine").toDF("e", "end_fine", "end_before")
-    x = x.drop("start").join(ends, F.col("source").eqNullSafe(F.col("e")), "left")
+    x = x.drop("start").join(small(ends), F.col("source").eqNullSafe(F.col("e")), "left")
 
     keep = ["doc_id", "source", "size", "source_size", "target", "sure", F.coalesce("p", F.lit(0.0)).alias("odds")]
     here = F.coalesce((F.col("bin") == F.col("end_bin")) & (F.col("fine") == F.col("end_fine")), F.lit(False))
