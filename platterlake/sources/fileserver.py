@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
+from itertools import takewhile
 
 from .model import DIRECTORY, Entry, Image, Listing, NotRecognised, Run, Volume, clip, number, text, until
 
@@ -57,6 +59,23 @@ def decode_directory(raw: bytes) -> Listing:
     return out
 
 
+#: Parts of a level 2 map entry: fixed values of the format.
+LINK, EMPTY, LAST = 0xFFF, 0x1000, 0x4000
+
+
+def follow(first: int, after: Callable[[int], int | None], most: int) -> Iterator[int]:
+    """``first`` and the nodes behind it, up to one that has none or links to itself.  ``most``
+    ends a circle; how often a circle is gone round decides results, so the two numbers given
+    here are fixed values: twice a side's sectors and 4, and MAPS_FOLLOWED."""
+    at: int | None = first
+    for _ in range(most):
+        yield at
+        to = after(at)
+        if to is None or to == at:
+            return
+        at = to
+
+
 class FileServer(Volume):
     """``level`` 2 follows a chain of 12-bit map entries, 3 follows allocation maps."""
 
@@ -80,38 +99,31 @@ class FileServer(Volume):
         return b"".join(self._sector(sin + i) for i in range(-(-size // 256)))[:size]
 
     def _runs(self, sin: int, is_dir: bool) -> list[Run]:
-        return self._chain(sin & 0xFFF, is_dir) if self.level == 2 else self._maps(sin, is_dir)
-
-    def _chain(self, at: int, is_dir: bool) -> list[Run]:
-        runs = []
-        for _ in range(self.per_side * 2 + 4):
-            e = number(self.map[at * 2 + 5 : at * 2 + 7]) if at * 2 + 7 <= len(self.map) else 0
-            last = bool(e & 0x4000)
-            n = (e & 255 or 256) if last and not is_dir else 0 if e & 0x1000 else 256
-            if n:
-                runs.append((place(at, self.spt, self.order) * 256, n))
-            if last or e & 0xFFF == at:
-                break
-            at = e & 0xFFF
-        return runs
+        return self._chain(sin & LINK, is_dir) if self.level == 2 else self._maps(sin, is_dir)
+
+    def _chain(self, first: int, is_dir: bool) -> list[Run]:
+        """Runs of a level 2 object: the sectors of its chain of map entries."""
+        links = memoryview(self.map)[5 : 5 + (len(self.map) - 5) // 2 * 2]
+        table = [number(links[k : k + 2]) for k in range(0, len(links), 2)] if self.map else []
+        entry = lambda at: table[at] if at < len(table) else 0
+
+        def used(e: int) -> int:
+            if e & LAST and not is_dir:
+                return e & 255 or 256
+            return 0 if e & EMPTY else 256
+
+        chain = follow(first, lambda at: None if entry(at) & LAST else entry(at) & LINK, self.per_side * 2 + 4)
+        return [(place(at, self.spt, self.order) * 256, used(entry(at))) for at in chain if used(entry(at))]
 
     def _maps(self, sin: int, is_dir: bool) -> list[Run]:
-        runs, low = [], None
-        for _ in range(MAPS_FOLLOWED):
-            block = self._sector(sin)
-            low = block[8] if low is None else low
-            for p in range(10, 0xFA - 4, 5) if block[:6] == b"JesMap" else ():
-                sector, count = number(block[p : p + 3]), number(block[p + 3 : p + 5])
-                if not sector or not count:
-                    break
-                runs.append((place(sector, self.spt, self.order) * 256, count * 256))
-            after = number(block[0xFA:0xFD])
-            if after in (0, sin):
-                break
-            sin = after
-        if is_dir or not low:
-            return runs
-        return clip(runs, 0, max(0, sum(n for _, n in runs) - (256 - low)))
+        """Runs of a level 3 object: the groups of its allocation maps, less what the last sector lacks."""
+        maps = [self._sector(at) for at in follow(sin, lambda at: number(self._sector(at)[0xFA:0xFD]) or None, MAPS_FOLLOWED)]
+        runs: list[Run] = []
+        for block in (m for m in maps if m[:6] == b"JesMap"):
+            groups = ((number(block[p : p + 3]), number(block[p + 3 : p + 5])) for p in range(10, 0xF6, 5))
+            runs += [(place(at, self.spt, self.order) * 256, n * 256) for at, n in takewhile(all, groups)]
+        lacking = 256 - maps[0][8] if maps[0][8] and not is_dir else 0
+        return clip(runs, 0, max(0, sum(n for _, n in runs) - lacking)) if lacking else runs
 
     def root(self) -> Entry:
         return Entry("$", b"$", attrs=DIRECTORY, is_dir=True, runs=self._runs(self.root_sin, True), sin=self.root_sin)
