@@ -1,6 +1,8 @@
 """Lines of few words in line dedup, against brute force over all lines that are not blank."""
 
+import hashlib
 import random
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 from platterlake.llm import line_dedup
@@ -38,3 +40,27 @@ def test_short_lines_equal_brute_force(spark, tmp_path):
     assert got == {i: len(t) for i, t in want.items()}
     left = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, df, "").collect()}
     assert 202 not in {i for i, t in left.items() if not t.strip()} and 200 in left and left[203] == "x1 x2"
+
+
+def test_documents_equal_brute_force(spark, sf):
+    """The query over a whole table, against every earlier line that shares a rare word."""
+    docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    sets = {x: frozenset(x.encode().split()) for _, t in docs for x in t.split("\n")}
+    often = Counter(w for s in sets.values() for w in s)
+    index, seen, want = defaultdict(list), set(), {}
+    for i, t in docs:
+        kept, own = [], set()
+        for x in t.split("\n"):
+            s = sets[x]
+            if not s:
+                kept.append(x)
+            elif x not in own:
+                own.add(x)
+                rare = sorted(s, key=lambda w: (often[w], w))[: len(s) - (8 * len(s) + 9) // 10 + 1]
+                if x not in seen and not any(9 * len(s & o) >= 4 * (len(s) + len(o)) for w in rare for o in index[w]):
+                    kept.append(x)
+                for w in rare:
+                    index[w].append(s)
+        seen |= own
+        want[i] = hashlib.sha256("\n".join(kept).encode()).hexdigest()
+    assert {r.doc_id: r.text_sha256 for r in line_dedup.op3_line_dedup(spark, sf).collect()} == want
