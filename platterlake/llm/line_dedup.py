@@ -18,10 +18,10 @@ words fall into d parts or fewer could share no token with a match that is as th
 lines meet by their rarest words.
 
 No token gives all pairs of its lines.  Where it has up to ``FEW`` lines, each meets the
-earlier ones.  Where it has more, each first meets the earliest and the ``LAST`` before it, in
-its rarest crowded token: lines in a crowd of near copies find their match there.  Only lines
-without a match so far then meet all earlier lines of such tokens that pass the length, place
-and parity filters.
+earlier ones.  Where it has more, each first meets one of the earliest and the ``LAST`` before
+it, that of the nearest parities: lines in a crowd of near copies find their match there.  Only
+lines without a match so far then meet all earlier lines of such tokens that pass the length,
+place and parity filters.
 
 Lines are told apart by 128 bits, words of two lines by 64.
 
@@ -44,6 +44,8 @@ from .common import fresh, let, stage, table, unstage
 LEAST_WORDS = 5
 #: Jaccard of 0.8: an overlap o of sets of a and b words needs 9 o >= 4 (a + b).
 JACCARD = 0.8
+#: Parts of a class are so many times the words that may differ and one more.
+SPREAD = 1.1
 #: Parts into which words are dealt at most, so that their number has room in a packed column.
 PARTS = (1 << 20) - 1
 #: Tokens are counted in so many passes, which bounds the shuffle files that exist at once.
@@ -92,7 +94,7 @@ def _classes(n: Column) -> Column:
     longest, end = F.floor(n * 5 / 4), _end(n)
 
     def of(end: Column, apart: Column) -> Column:
-        parts = 1 + F.floor(2 * (end - 1) / 9)  # one more than may differ in the class
+        parts = F.when(end == 4, 1).otherwise(F.ceil(SPREAD * (1 + F.floor(2 * (end - 1) / 9))))
         # Too few parts for a line of millions of words make it a thin one.
         return F.struct(F.least(parts, F.lit(PARTS)).cast("int").alias("parts"), apart.cast("int").alias("apart"))
 
@@ -167,13 +169,17 @@ def _parities(hashes: Column) -> Column:
     return F.struct(bits(lambda h: h).alias("a"), bits(F.bitwise_not).alias("b"))
 
 
+def _apart(e: Column, l: Column) -> Column:  # noqa: E741
+    """Parity bits in which two lines differ."""
+    return F.bit_count(e["bits"]["a"].bitwiseXOR(l["bits"]["a"])) + F.bit_count(e["bits"]["b"].bitwiseXOR(l["bits"]["b"]))
+
+
 def _near(e: Column, l: Column) -> Column:  # noqa: E741
     """Whether line ``e`` is earlier than ``l`` and passes the length, place and parity filters."""
     total = e["n"] + l["n"]
     length = 5 * F.least(e["n"], l["n"]) >= 4 * F.greatest(e["n"], l["n"])
     place = F.greatest(e["place"], l["place"]) <= F.floor(total / 9) + 2
-    differ = F.bit_count(e["bits"]["a"].bitwiseXOR(l["bits"]["a"])) + F.bit_count(e["bits"]["b"].bitwiseXOR(l["bits"]["b"]))
-    return (e < l) & length & place & (differ <= total - 2 * F.ceil(total * 4 / 9))
+    return (e < l) & length & place & (_apart(e, l) <= total - 2 * F.ceil(total * 4 / 9))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -243,14 +249,13 @@ def matched_lines(docs: DataFrame, text: str = "text", least: int = LEAST_WORDS)
     # The order comes first, so the least of these structs is the earliest line.
     lines = known.where("crowded").select("h", "g", "first", _parities(F.col("words")).alias("bits"))
     line = F.struct("first.doc_id", "first.t", "first.at", "h", "g", "n", "place", "bits")
-    crowd = crowd.union(rare.where(F.col("lines") > FEW)).join(lines, "h")
-    rarest = F.row_number().over(W.partitionBy("h", "g").orderBy("lines", "token")) == 1
-    crowd = stage(crowd.select("token", line.alias("l"), rarest.alias("rarest")), "crowd")
+    crowd = stage(crowd.union(rare.where(F.col("lines") > FEW)).join(lines, "h").select("token", line.alias("l")), "crowd")
     before = W.partitionBy("token").orderBy("l")
     near = F.array(F.first("l").over(before.rowsBetween(W.unboundedPreceding, 0)), *(F.lag("l", k).over(before) for k in range(1, LAST + 1)))
-    # A line tries its neighbours in one token first, so crowds cost rows in proportion to their lines.
-    some = crowd.select("l", "rarest", near.alias("near")).where("rarest")
-    some = some.select("l", F.explode(F.filter("near", lambda e: _near(e, F.col("l")))).alias("e"))
+    # A line tries one neighbour in each of its tokens, so crowds cost rows in proportion to their postings.
+    some = crowd.select("l", near.alias("near"))
+    fits = F.filter("near", lambda e: _near(e, F.col("l")))
+    some = some.select("l", F.array_min(F.transform(fits, lambda e: F.struct(_apart(e, F.col("l")).alias("apart"), e.alias("e"))))["e"].alias("e")).where("e is not null")
     ids = [F.col("e.h").alias("u"), F.col("l.h").alias("v")]
     found = stage(_verified(pairs.union(some.select(*ids)).distinct(), known), "found")
 
