@@ -181,6 +181,7 @@ class Trainer:
         self.log_inside = np.log(noise / groups[:, None] * INSIDE).astype(np.float32).ravel()
         self.rng, self.seen = np.random.default_rng(SEED), 0
 
+    @np.errstate(over="ignore")
     def step(self, ctx: np.ndarray, target: np.ndarray) -> None:
         w, n = self.w, len(target)
         q, group = _predicted(w, ctx), target // SIZE
@@ -217,14 +218,20 @@ class Trainer:
             x = w["inputs"][ctx[k]]
             g["places"][k] = x.T @ dq
             _scatter(g["inputs"], ctx[k], dq @ w["places"][k].T)
-        for k in _SHAPES:
-            self.sums[k] += (g[k] * n**0.5) ** 2
-            w[k] -= RATE * g[k] * n**0.5 / np.sqrt(self.sums[k])
+        for k, x in g.items():
+            x *= n**0.5
+            self.sums[k] += x * x
+            x *= RATE
+            w[k] -= x / np.sqrt(self.sums[k])
         self.seen += n
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """In place; what overflows is 0."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def _scatter(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
