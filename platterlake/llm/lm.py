@@ -183,46 +183,51 @@ class Trainer:
 
     @np.errstate(over="ignore")
     def step(self, ctx: np.ndarray, target: np.ndarray) -> None:
+        order = np.argsort(target, kind="stable")  # the tokens of a unit and of a group stand together
+        ctx, target = ctx[:, order], target[order]
         w, n = self.w, len(target)
+        root = np.float32(n**-0.5)
         q, group = _predicted(w, ctx), target // SIZE
-        g = {k: np.zeros(s, np.float32) for k, s in _SHAPES.items()}
+        g = {}
 
         other = np.minimum(np.searchsorted(self.cdf, self.rng.random(NOISE)), GROUPS - 1)
         own = np.einsum("nd,nd->n", q, w["groups"][group]) + w["group_bias"][group] - self.log_groups[group]
-        rest = q @ w["groups"][other].T + w["group_bias"][other] - self.log_groups[other]
-        d_own, d_rest = (_sigmoid(own) - 1) / n, _sigmoid(rest) / n
-        dq = d_own[:, None] * w["groups"][group] + d_rest @ w["groups"][other]
-        _scatter(g["groups"], group, d_own[:, None] * q)
+        rest = q @ w["groups"][other].T + (w["group_bias"][other] - self.log_groups[other])
+        d_group, d_rest = (_sigmoid(own) - 1) * root, _sigmoid(rest)
+        d_rest *= root
+        dq = d_group[:, None] * w["groups"][group] + d_rest @ w["groups"][other]
+        g["groups"] = np.zeros(_SHAPES["groups"], np.float32)
         np.add.at(g["groups"], other, d_rest.T @ q)
-        g["group_bias"] += np.bincount(group, d_own, GROUPS) + np.bincount(other, d_rest.sum(axis=0), GROUPS)
+        g["group_bias"] = (np.bincount(group, d_group, GROUPS) + np.bincount(other, d_rest.sum(axis=0), GROUPS)).astype(np.float32)
 
         draw = self.rng.random((GROUPS, INSIDE))
         noise = np.stack([np.searchsorted(c, d) for c, d in zip(self.inside, draw, strict=True)])
         noise = np.minimum(noise, SIZE - 1) + np.arange(GROUPS)[:, None] * SIZE  # groups, INSIDE
-        own = np.einsum("nd,nd->n", q, w["outputs"][target]) + w["bias"][target] - self.log_inside[target]
-        d_own = (_sigmoid(own) - 1) / n
-        dq += d_own[:, None] * w["outputs"][target]
-        _scatter(g["outputs"], target, d_own[:, None] * q)
-        g["bias"] += np.bincount(target, d_own, UNITS)
-        order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(GROUPS + 1))
+        vectors_own = w["outputs"][target]
+        own = np.einsum("nd,nd->n", q, vectors_own) + w["bias"][target] - self.log_inside[target]
+        d_own = (_sigmoid(own) - 1) * root
+        dq += d_own[:, None] * vectors_own
+        g["outputs"] = _scattered(target, d_own[:, None] * q, UNITS)
+        g["bias"] = np.bincount(target, d_own, UNITS).astype(np.float32)
+        ends = np.searchsorted(group, np.arange(GROUPS + 1))
         for k in np.flatnonzero(np.diff(ends)):  # the tokens of a group at once
-            at, units = order[ends[k] : ends[k + 1]], noise[k]
-            vectors = w["outputs"][units]
-            d = _sigmoid(q[at] @ vectors.T + w["bias"][units] - self.log_inside[units]) / n
+            at, units = slice(ends[k], ends[k + 1]), noise[k]
+            vectors, own_q = w["outputs"][units], q[at]
+            g["groups"][k] += d_group[at] @ own_q
+            d = _sigmoid(own_q @ vectors.T + (w["bias"][units] - self.log_inside[units]))
+            d *= root
             dq[at] += d @ vectors
-            np.add.at(g["outputs"], units, d.T @ q[at])
+            np.add.at(g["outputs"], units, d.T @ own_q)
             np.add.at(g["bias"], units, d.sum(axis=0))
 
-        for k in range(CONTEXT):
-            x = w["inputs"][ctx[k]]
-            g["places"][k] = x.T @ dq
-            _scatter(g["inputs"], ctx[k], dq @ w["places"][k].T)
+        g["places"] = np.stack([w["inputs"][ctx[k]].T @ dq for k in range(CONTEXT)])
+        g["inputs"] = _scattered(ctx.ravel(), np.concatenate([dq @ w["places"][k].T for k in range(CONTEXT)]), UNITS + 1)
         for k, x in g.items():
-            x *= n**0.5
-            self.sums[k] += x * x
+            sums = self.sums[k]
+            sums += x * x
             x *= RATE
-            w[k] -= x / np.sqrt(self.sums[k])
+            x /= np.sqrt(sums)
+            w[k] -= x
         self.seen += n
 
 
@@ -234,9 +239,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def _scatter(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    for d in range(DIM):
-        to[:, d] += np.bincount(at, rows[:, d], len(to))
+def _scattered(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """(size, DIM): the sums of rows by place."""
+    cells = (at * DIM)[:, None] + np.arange(DIM)
+    return np.bincount(cells.ravel(), rows.ravel(), size * DIM).reshape(size, DIM).astype(np.float32)
 
 
 def _encoded(texts: list, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
@@ -328,21 +334,26 @@ def log_probs(w: Weights, units: np.ndarray, ends: np.ndarray) -> np.ndarray:
     bias, ones_inside = w["bias"].reshape(GROUPS, SIZE), np.ones(SIZE, np.float32)
 
     def normalised(s: np.ndarray, at: np.ndarray, one: np.ndarray) -> np.ndarray:
-        s -= max(0.0, float(s.max()) - 80.0)  # no overflow
+        if (most := float(s.max())) > 80.0:  # no overflow
+            s -= most - 80.0
         own = s[np.arange(len(s)), at]
         np.exp(s, out=s)
         return own - np.log(np.maximum(s @ one, 1e-37))
 
+    held = np.empty((16_384, SIZE), np.float32)
     for i in range(0, len(units), 16_384):
-        part = units[i : i + 16_384]
-        q, group = _predicted(w, ctx[:, i : i + 16_384]), part // SIZE
+        order = np.argsort(units[i : i + 16_384], kind="stable")
+        part = units[i : i + 16_384][order]
+        q, group = _predicted(w, ctx[:, i : i + 16_384][:, order]), part // SIZE
         found = normalised(q @ to + w["group_bias"], group, ones)
-        order = np.argsort(group, kind="stable")
-        ends_ = np.searchsorted(group[order], np.arange(GROUPS + 1))
+        ends_ = np.searchsorted(group, np.arange(GROUPS + 1))
         for k in np.flatnonzero(np.diff(ends_)):
-            at = order[ends_[k] : ends_[k + 1]]
-            found[at] += normalised(q[at] @ inside[k] + bias[k], part[at] % SIZE, ones_inside)
-        out[i : i + 16_384] = found
+            for j in range(ends_[k], ends_[k + 1], 512):  # what stays in the cache
+                at = slice(j, min(j + 512, ends_[k + 1]))
+                s = np.matmul(q[at], inside[k], out=held[: at.stop - j])
+                s += bias[k]
+                found[at] += normalised(s, part[at] % SIZE, ones_inside)
+        out[i + order] = found
     return out.astype(np.float64) / np.log(10)
 
 
