@@ -48,6 +48,8 @@ JACCARD = 0.8
 SPREAD = 1.1
 #: Parts into which words are dealt at most, so that their number has room in a packed column.
 PARTS = (1 << 20) - 1
+#: Words of a line up to which the starts of its parts are looked for one by one.
+LOOKED = 1024
 #: Tokens are counted in so many passes, which bounds the shuffle files that exist at once.
 PASSES = 2
 #: Lines of a token that may meet each other at once.
@@ -102,24 +104,43 @@ def _classes(n: Column) -> Column:
     return F.when(longest >= end, F.array(own, of(end * 2, F.floor(n / 4)))).otherwise(F.array(own))
 
 
+def _hashes(line: Column) -> Column:
+    """The different words of a line as ordered hashes; an empty string is no word."""
+    for gap in _BLANKS[1:]:
+        line = F.replace(line, F.lit(gap), F.lit(" "))
+    hashes = F.transform(F.split(line, " ", -1), lambda w: F.xxhash64(w))
+    return F.sort_array(F.array_distinct(F.array_remove(hashes, F.xxhash64(F.lit("")))))
+
+
 def _sets(docs: DataFrame, text: str, least: int) -> DataFrame:
-    """(h, n, parts, apart, tokens): the tokens of each different line, by class."""
+    """(token, h, line, apart, head): the tokens of each different line, by class.  The line's length, parts
+    and number of tokens q are packed in ``line``; one token of each set is its head."""
     lines = _lines(docs, text, least).select("h", "g", "line")
     # Equal lines are combined before they are dealt by hash, so a hot line is one row a task.
-    lines = lines.groupBy("h", "g").agg(F.first("line").alias("line")).select("h", "g", F.explode(F.array(_words(F.col("line")))).alias("words"))
-    lines = lines.select("h", "g", "words", _size(F.col("words")).alias("n"))
-    lines = lines.select("h", "g", "words", "n", F.explode(_classes(F.col("n"))).alias("c")).select("h", "g", "words", "c.parts", F.expr("shiftleft(cast(n as bigint), 40) | shiftleft(cast(c.parts as bigint), 20)").alias("base"), "c.apart")
-    # Length, number of parts, what may differ and the part go in two numbers, as there is a row for each word.
-    words = lines.select("h", "g", "parts", "base", F.explode("words").alias("word")).where("word <> ''").select("h", "g", "parts", "base", F.xxhash64("word").alias("w"))
-    words = words.select("h", "g", F.col("base").bitwiseOR(F.pmod(F.shiftright("w", 20), F.col("parts"))).alias("part"), "w")
-    # Dealt by (h, g) already: neither sum moves a row.
-    tokens = words.groupBy("h", "g", "part").agg(F.bit_xor("w").alias("x"))
-    token = F.xxhash64(F.col("part").bitwiseAND(F.lit((1 << 40) - 1)), "x")
-    sets = tokens.groupBy("h", "g", F.shiftright("part", 20).alias("base")).agg(F.collect_list(token).alias("tokens"))
-    parts = F.col("base").bitwiseAND(F.lit((1 << 20) - 1)).cast("int")
-    sets = sets.select("h", F.shiftright("base", 20).cast("int").alias("n"), parts.alias("parts"), "tokens")
-    apart = F.filter(_classes(F.col("n")), lambda c: c["parts"] == F.col("parts"))[0]["apart"]
-    return sets.select("h", "n", "parts", apart.alias("apart"), "tokens")
+    lines = lines.groupBy("h", "g").agg(F.first("line").alias("line")).select("h", F.explode(F.array(_hashes(F.col("line")))).alias("words"))
+    lines = lines.withColumn("n", F.size("words"))
+    lines = lines.select("h", "words", "n", F.explode(_classes(F.col("n"))).alias("c")).select("h", "words", "n", "c.parts", "c.apart")
+    # Parts are ranges of hashes, so the words of one stand together, and no row is needed for each word.
+    # 43 bits of a hash, as a fraction of all of them, times the parts: 63 bits at most.
+    part = F.transform("words", lambda w: F.shiftright((F.shiftright(w, 21) + F.lit(1 << 42)) * F.col("parts"), 43).cast("int"))
+    lines = lines.select("*", F.explode(F.array(part)).alias("of"))
+    # A short line is looked through for the start of each part; where that would take long, the starts are listed.
+    starts = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (i == 0) | (F.get("of", i) != F.get("of", i - 1)))
+    lines = lines.select("*", F.explode(F.array(F.when(F.col("n") > LOOKED, starts))).alias("starts"))
+    lines = lines.withColumn("every", F.array_distinct("of")).select("*", F.posexplode("every").alias("k", "part"))
+
+    def start(k: Column) -> Column:
+        return F.when(F.col("starts").isNull(), F.array_position("of", F.get("every", k)).cast("int")).otherwise(F.get("starts", k) + 1)
+
+    words = F.slice("words", start(F.col("k")), F.coalesce(start(F.col("k") + 1), F.col("n") + 1) - start(F.col("k")))
+    packed = F.expr("shiftleft(cast(n as bigint), 40) | shiftleft(cast(parts as bigint), 20) | size(every)")
+    return lines.select(F.xxhash64("parts", "part", words).alias("token"), "h", packed.alias("line"), "apart", (F.col("k") == 0).alias("head"))
+
+
+def _unpacked() -> tuple[Column, Column, Column]:
+    """Length, parts and number of tokens of a line."""
+    low = F.lit((1 << 20) - 1)
+    return F.shiftright("line", 40).cast("int").alias("n"), F.shiftright("line", 20).bitwiseAND(low).cast("int").alias("parts"), F.col("line").bitwiseAND(low).cast("int").alias("q")
 
 
 def _chosen(postings: DataFrame) -> DataFrame:
@@ -140,9 +161,8 @@ def _chosen(postings: DataFrame) -> DataFrame:
 
 def _repeated(sets: DataFrame) -> list[DataFrame]:
     """The postings of tokens that stand in more than one line, in PASSES tables."""
-    every = sets.select("h", "n", "parts", "apart", F.size("tokens").alias("q"), F.explode("tokens").alias("token"))
     # The numbers of a line are one column while rows move.
-    packed = every.select("token", "h", F.expr("shiftleft(cast(n as bigint), 40) | shiftleft(cast(parts as bigint), 20) | q").alias("line"), "apart")
+    packed = sets.drop("head")
     out = []
     for k in range(PASSES):
         rows = packed.where(F.pmod("token", F.lit(PASSES)) == k).withColumn("lines", F.count("*").over(W.partitionBy("token"))).where("lines > 1")
@@ -222,14 +242,14 @@ def matched_lines(docs: DataFrame, text: str = "text", least: int = LEAST_WORDS)
     """(h, g, first, docs, near): lines that have equal or earlier near copies.  first is the
     first place of the line, docs how many texts have it, near whether an earlier line matches."""
     sets = stage(_sets(docs, text, least), "sets")
-    thin = stage(sets.where(F.size("tokens") <= F.col("apart")).select("h", "n", "parts"), "thin")
+    n, parts_of, q = _unpacked()
+    thin = stage(sets.where(F.col("head") & (q <= F.col("apart"))).select("h", n, parts_of), "thin")
     parts = _repeated(sets)
     unstage(sets)
     postings = parts[0]
     for more in parts[1:]:
         postings = postings.union(more)
-    n, q = F.shiftright("line", 40).cast("int"), F.col("line").bitwiseAND(F.lit((1 << 20) - 1)).cast("int")
-    postings = postings.select("token", "h", n.alias("n"), F.shiftright("line", 20).bitwiseAND(F.lit((1 << 20) - 1)).cast("int").alias("parts"), q.alias("q"), "apart", "lines")
+    postings = postings.select("token", "h", n, parts_of, q, "apart", "lines")
     chosen = _chosen(postings)
     unstage(*parts)
     pairs = few = stage(_pairs(chosen.where(F.col("lines") <= FEW)), "pairs")
@@ -295,7 +315,8 @@ def _cleaned(docs: DataFrame, text: str, least: int) -> DataFrame:
         gone = F.transform(F.coalesce("lost", F.array().cast("array<int>")), lambda i: F.concat(F.lit(":"), F.get(once, i)))
         left = F.transform(F.array_except(marked, gone), lambda x: F.substr(x, F.instr(x, ":") + 1))
         whole = F.col("lost").isNull() & (F.size(once) == F.size(every))
-        return F.struct(F.when(whole, F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"), F.when(whole, 0).otherwise(F.size(every) - F.size(left)).cast("long").alias("gone"))
+        joined = let(left, lambda l: F.struct(F.array_join(l, "\n").alias("text"), (F.size(every) - F.size(l)).cast("long").alias("gone")))  # noqa: E741
+        return F.when(whole, F.struct(F.col("text").alias("text"), F.lit(0).cast("long").alias("gone"))).otherwise(joined)
 
     found = let(F.split(F.coalesce("text", F.lit("")), "\n", -1), kept)
     rows = rows.select("row", "text", F.explode(F.array(found)).alias("k"))
