@@ -41,6 +41,8 @@ NEAR, LOOSE, SURE, ANSWER, SHORT = 0.3, 0.55, 0.75, 0.5, 8
 ITEMS = 4096
 #: Passages looked at, blocks whose terms are summed and numbers shuffled at once.
 WINDOW, SPREAD, SLICE = 512, 4096, 1 << 12
+#: Times that a term stands in such blocks from which it is summed alone.
+OFTEN = 96
 _HITS = StructField("hits", ArrayType(StructType([StructField("item_id", LongType()), StructField("share", DoubleType())])))
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -202,10 +204,20 @@ class _Fit:
             at = np.flatnonzero(ids < len(self.weights) - 1)
             at = at[np.argsort(ids[at].astype(np.int32), kind="stable")]
             if len(at):
-                order = ids[at]
+                order, block = ids[at], at // BLOCK
                 starts = np.concatenate(([0], np.flatnonzero(np.diff(order)) + 1))
-                term = order[starts]
-                y[term] += self.weights[term, None] * np.add.reduceat(of_block[at // BLOCK], starts, axis=0)
+                term, times = order[starts], np.diff(np.append(starts, len(order)))
+                for t, s, n in zip(*(x[times > OFTEN].tolist() for x in (term, starts, times)), strict=True):
+                    y[t] += self.weights[t] * of_block[block[s : s + n]].sum(axis=0)
+                # Of the others, those that stand there more often come first, and all whose k-th place is left are added at once.
+                by = np.flatnonzero(times <= OFTEN)
+                by = by[np.argsort(-times[by], kind="stable")]
+                if len(by):
+                    term, starts, times = term[by], starts[by], times[by]
+                    sums = of_block[block[starts]]
+                    for k, n in enumerate(np.searchsorted(-times, -np.arange(1, times[0])).tolist(), 1):
+                        sums[:n] += of_block[block[starts[:n] + k]]
+                    y[term] += self.weights[term, None] * sums
             held, spread, size = [], [], 0
 
         for ids, sketch, scale in self._passages(grid, firsts, weights):
@@ -310,6 +322,9 @@ class Search:
             self.holds[i, [items.terms[w] for w in ws]] = True
         self.lengths = np.array([len(w) for w in items.words], np.int64)
         self.times = [list(Counter(w).items()) for w in items.words]
+        #: Different words of an item, and how many of them must be near a passage whatever else repeats.
+        self.different = [frozenset(w) for w in items.words]
+        self.least = [LOOSE * len(w) - (len(w) - len(set(w))) for w in items.words]
         self.reach = np.maximum(0, -(-self.lengths // BLOCK) - SPAN + 1)
         self.short = [i for i, w in enumerate(items.words) if 0 < len(w) < SHORT]
         #: Whether a short item starts with the term.
@@ -348,9 +363,13 @@ class Search:
                 reach = int(self.reach[i])
                 if around != (d, p, reach):
                     around, part = (d, p, reach), words_at(d)[max(0, p - 1 - reach) * BLOCK : (p + SPAN + 1 + reach) * BLOCK]
-                    times = Counter(part).get
+                    there, times = set(part), None
+                # Most candidates fall here: a word that is not there is in common no time.
+                if len(self.different[i] & there) < self.least[i]:
+                    continue
                 # As often as both have a word it can be in common at most.
-                most = sum([min(n, times(w, 0)) for w, n in self.times[i]])
+                times = times or Counter(part)
+                most = sum([min(n, times[w]) for w, n in self.times[i]])
                 if most >= LOOSE * len(items.words[i]) and (share := items.match(i, part)) > best:
                     hits[d][items.ids[i]] = share
         if self.short:
