@@ -357,11 +357,11 @@ def log_probs(w: Weights, units: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out.astype(np.float64) / np.log(10)
 
 
-_SCHEMA = "row long, doc_id long, held_out boolean, n_tokens long, n_head long, base double, score double, tail array<string>"
+_SCHEMA = "row long, doc_id long, held_out boolean, n_tokens long, n_head long, base double, score double, tail map<string,long>"
 
 
 def _scored(docs: DataFrame, vocab: Vocabulary, w: Weights) -> DataFrame:
-    """One row a document: sums over head tokens, what units give, and the other tokens."""
+    """One row a document: sums over head tokens, what units give, and how often each other token stands there."""
     log_all = np.log10(vocab.n + 1.0 * (vocab.v + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,11 +377,15 @@ def _scored(docs: DataFrame, vocab: Vocabulary, w: Weights) -> DataFrame:
                 score = log_probs(w, units, ends) + vocab.share[numbers] + np.where(vocab.tail[numbers], base, 0.0)
                 starts = np.concatenate(([0], ends[:-1]))
                 total = lambda x: pa.array(np.add.reduceat(x, starts))
-                lost = ~known
-                tail = [[t.decode("utf-8", "surrogatepass") for t, o in zip(ts, lost[s:e].tolist(), strict=True) if o] for ts, s, e in zip(toks, starts.tolist(), ends.tolist(), strict=True)]
+                lost = np.flatnonzero(~known)
+                of = np.searchsorted(ends, lost, side="right")
+                tail: list[dict[bytes, int]] = [{} for _ in texts]
+                for d, k in zip(of.tolist(), (lost - starts[of]).tolist(), strict=True):
+                    tail[d][toks[d][k]] = tail[d].get(toks[d][k], 0) + 1
+                counted = [[(t.decode("utf-8", "surrogatepass"), c) for t, c in own.items()] for own in tail]
                 n = len(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(row, row + n), pa.int64()), b.column(0).slice(at, n), b.column(1).slice(at, n), pa.array(ends - starts), total(known.astype(np.int64)), total(base - log_all), total(score), pa.array(tail, pa.list_(pa.string()))],
+                    [pa.array(range(row, row + n), pa.int64()), b.column(0).slice(at, n), b.column(1).slice(at, n), pa.array(ends - starts), total(known.astype(np.int64)), total(base - log_all), total(score), pa.array(counted, pa.map_(pa.string(), pa.int64()))],
                     [c.split()[0] for c in _SCHEMA.split(", ")],
                 )
                 row, at = row + n, at + n
@@ -395,7 +399,7 @@ def score(docs: DataFrame, train_docs: DataFrame) -> DataFrame:
     counted = stage(counts(train_docs), "counts")
     vocab = vocabulary(counted)
     rows = stage(_scored(docs, vocab, train(train_docs, vocab)), "scored")
-    tail = rows.select("row", F.explode("tail").alias("token")).groupBy("row", "token").agg(F.count("*").alias("tf"))
+    tail = rows.select("row", F.explode("tail").alias("token", "tf"))
     tail = tail.join(counted, "token").groupBy("row").agg(F.sum("tf").alias("tail_known"), F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("tail_log"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return rows.join(tail, "row", "left").select(
