@@ -7,13 +7,14 @@ itself.  Lines of fewer than ``least`` different words are left alone: by defaul
 ``LEAST_WORDS``; the query and the pipeline give 1, so that only blank lines are.
 
 The join.  Sets of a and b words that match differ in at most ``(a + b) / 9`` words.  Words
-are dealt by hash into parts, and the words of a line in one part, taken together, are a
-*token*; a word that differs spoils one token only.  Tokens are counted exactly, over all
-lines, and ordered by rarity.  By the prefix filter, lines that match share two of their
+are dealt by hash into parts, and the first ``TAKEN`` words of a line in one part, by hash, are
+together a *token*; a word that differs spoils one token only.  Tokens are counted exactly, over
+all lines, and ordered by rarity.  By the prefix filter, lines that match share two of their
 ``d + 2`` rarest tokens, where d words may differ, or one where a line has but d + 1.  Tokens
 that no other line has are the rarest, so a line with more than d of them meets nobody.
 Length and place bound what is left, and the words themselves are compared.  Lengths go in
-classes that double; a line near the next class has tokens of that class too.  A line whose
+classes that double; two lines meet in that of the shorter one, so a line near the class below
+has tokens of that class too.  A line whose
 words fall into d parts or fewer could share no token with a match that is as thin; thin
 lines meet by their rarest words.
 
@@ -48,8 +49,10 @@ JACCARD = 0.8
 SPREAD = 1.1
 #: Parts into which words are dealt at most, so that their number has room in a packed column.
 PARTS = (1 << 20) - 1
-#: Words of a line up to which the starts of its parts are looked for one by one.
+#: Words of a line that are looked through at once; longer lines are cut, so that no row is large.
 LOOKED = 1024
+#: Words of a part that a token has at most: the first ones, by hash.
+TAKEN = 6
 #: Tokens are counted in so many passes, which bounds the shuffle files that exist at once.
 PASSES = 2
 #: Lines of a token that may meet each other at once.
@@ -90,18 +93,25 @@ def _end(n: Column) -> Column:
     return F.call_function("shiftleft", F.lit(2), F.greatest(F.lit(1), F.floor(F.log2(n.cast("double"))).cast("int")))
 
 
+def _most(n: Column, lower: Column) -> Column:
+    """In how many words a line of ``n`` words and a match differ at most: in the class of the
+    line, where a match has any length, or in the one below, where the match ends."""
+    return F.floor((n + F.when(lower, (_end(n) / 2).cast("int") - 1).otherwise(F.floor(n * 5 / 4))) / 9).cast("int")
+
+
 def _classes(n: Column) -> Column:
     """(parts, apart) of the classes in which a line of ``n`` words can meet others: into how
     many parts words are dealt, and in how many words a match can differ at most."""
-    longest, end = F.floor(n * 5 / 4), _end(n)
+    end = _end(n)
 
-    def of(end: Column, apart: Column) -> Column:
-        parts = F.when(end == 4, 1).otherwise(F.ceil(SPREAD * (1 + F.floor(2 * (end - 1) / 9))))
+    # The longest two lines that meet in a class have ``last`` words and 5/4 of these.
+    def of(last: Column, apart: Column) -> Column:
+        parts = F.when(last == 3, 1).otherwise(F.ceil(SPREAD * (1 + F.floor((last + F.floor(last * 5 / 4)) / 9))))
         # Too few parts for a line of millions of words make it a thin one.
-        return F.struct(F.least(parts, F.lit(PARTS)).cast("int").alias("parts"), apart.cast("int").alias("apart"))
+        return F.struct(F.least(parts, F.lit(PARTS)).cast("int").alias("parts"), apart.alias("apart"))
 
-    own = of(end, F.floor((n + F.least(longest, end - 1)) / 9))
-    return F.when(longest >= end, F.array(own, of(end * 2, F.floor(n / 4)))).otherwise(F.array(own))
+    own, last = of(end - 1, _most(n, F.lit(False))), (end / 2 - 1).cast("int")
+    return F.when((end > 4) & (5 * last >= 4 * n), F.array(own, of(last, _most(n, F.lit(True))))).otherwise(F.array(own))
 
 
 def _hashes(line: Column) -> Column:
@@ -117,55 +127,63 @@ def _sets(docs: DataFrame, text: str, least: int) -> DataFrame:
     and number of tokens q are packed in ``line``; one token of each set is its head."""
     lines = _lines(docs, text, least).select("h", "g", "line")
     # Equal lines are combined before they are dealt by hash, so a hot line is one row a task.
-    lines = lines.groupBy("h", "g").agg(F.first("line").alias("line")).select("h", F.explode(F.array(_hashes(F.col("line")))).alias("words"))
-    lines = lines.withColumn("n", F.size("words"))
+    lines = lines.groupBy("h", "g").agg(F.first("line").alias("line")).select("h", _hashes(F.col("line")).alias("words"))
+    lines = lines.select("h", "words", F.size("words").alias("n"))
     lines = lines.select("h", "words", "n", F.explode(_classes(F.col("n"))).alias("c")).select("h", "words", "n", "c.parts", "c.apart")
-    # Parts are ranges of hashes, so the words of one stand together, and no row is needed for each word.
-    # 43 bits of a hash, as a fraction of all of them, times the parts: 63 bits at most.
-    part = F.transform("words", lambda w: F.shiftright((F.shiftright(w, 21) + F.lit(1 << 42)) * F.col("parts"), 43).cast("int"))
-    lines = lines.select("*", F.explode(F.array(part)).alias("of"))
-    # A short line is looked through for the start of each part; where that would take long, the starts are listed.
-    starts = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (i == 0) | (F.get("of", i) != F.get("of", i - 1)))
-    lines = lines.select("*", F.explode(F.array(F.when(F.col("n") > LOOKED, starts))).alias("starts"))
-    lines = lines.withColumn("every", F.array_distinct("of")).select("*", F.posexplode("every").alias("k", "part"))
 
-    def start(k: Column) -> Column:
-        return F.when(F.col("starts").isNull(), F.array_position("of", F.get("every", k)).cast("int")).otherwise(F.get("starts", k) + 1)
-
-    words = F.slice("words", start(F.col("k")), F.coalesce(start(F.col("k") + 1), F.col("n") + 1) - start(F.col("k")))
-    packed = F.expr("shiftleft(cast(n as bigint), 40) | shiftleft(cast(parts as bigint), 20) | size(every)")
-    return lines.select(F.xxhash64("parts", "part", words).alias("token"), "h", packed.alias("line"), "apart", (F.col("k") == 0).alias("head"))
+    # Parts are ranges of hashes, so the words of one stand together, and a row is needed for its first word only.
+    # 43 bits of a hash, as a fraction of all of them, times the parts: 63 bits at most.
+    def part(w: Column) -> Column:
+        return F.shiftright((F.shiftright(w, 21) + F.lit(1 << 42)) * F.col("parts"), 43).cast("int")
+
+    packed = F.expr("shiftleft(cast(n as bigint), 40) | shiftleft(cast(parts as bigint), 20)").bitwiseOR(F.size(F.array_distinct(F.transform("words", part))).cast("long"))
+    # A long line is looked through in pieces, each with the word before it and those that its last token may have.
+    most = max(1, LOOKED)
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / most).cast("int")), lambda k: F.slice("words", F.greatest(k * most, F.lit(1)), most + TAKEN + 1))
+    lines = lines.select("h", "n", "parts", "apart", packed.alias("line"), F.posexplode(F.when(F.col("n") > most, cut).otherwise(F.array("words"))).alias("k", "words"))
+    rows = lines.select("h", "parts", "apart", "line", "words", "k", F.posexplode("words").alias("i", "w"))
+    at = F.when(F.col("k") == 0, F.col("i")).otherwise(F.col("i") - 1)
+    head = (F.col("k") == 0) & (F.col("i") == 0)
+    rows = rows.where((at >= 0) & (at < most) & (head | (part(F.col("w")) != part(F.get("words", F.col("i") - 1)))))
+    # Words of other parts are null, which leaves a hash as it is.
+    more = [F.when(part(F.get("words", F.col("i") + j)) == part(F.col("w")), F.get("words", F.col("i") + j)) for j in range(1, TAKEN)]
+    return rows.select(F.xxhash64("parts", part(F.col("w")), "w", *more).alias("token"), "h", "line", "apart", head.alias("head"))
 
 
 def _unpacked() -> tuple[Column, Column, Column]:
     """Length, parts and number of tokens of a line."""
-    low = F.lit((1 << 20) - 1)
-    return F.shiftright("line", 40).cast("int").alias("n"), F.shiftright("line", 20).bitwiseAND(low).cast("int").alias("parts"), F.col("line").bitwiseAND(low).cast("int").alias("q")
+    low, line = F.lit((1 << 20) - 1), F.greatest("line", F.bitwise_not("line"))
+    return F.shiftright(line, 40).cast("int").alias("n"), F.shiftright(line, 20).bitwiseAND(low).cast("int").alias("parts"), line.bitwiseAND(low).cast("int").alias("q")
+
+
+def _packed(sets: DataFrame) -> DataFrame:
+    """(token, h, line) of ``sets``; ``line`` is inverted where ``apart`` is that of the class below."""
+    n = F.shiftright("line", 40).cast("int")
+    return sets.select("token", "h", F.when(F.col("apart") == _most(n, F.lit(False)), F.col("line")).otherwise(F.bitwise_not("line")).alias("line"))
 
 
 def _chosen(postings: DataFrame) -> DataFrame:
-    """(token, h, n, q, place, lines) of the postings (token, h, n, parts, apart, q, lines) of
-    repeated tokens that stand among the apart + 2 rarest of a line's q, where enough of them
-    stand in other such lines: lines that match share two of these, or as many more than
-    ``apart`` as a line has.  Steps are written, so that shuffle files of one at a time exist."""
+    """(token, h, n, q, place, lines) of the postings (token, h, line, lines) of repeated tokens
+    that stand among the apart + 2 rarest of a line's q, where enough of them do: lines that match
+    share two of these, or as many more than ``apart`` as a line has.  Steps are written, so that
+    shuffle files of one at a time exist."""
+    n, _, q = _unpacked()
     # From the commonest down, so that tokens of no other line, the rarest, need not be there.
-    down = F.row_number().over(W.partitionBy("h", "parts").orderBy(F.col("lines").desc(), "token"))
-    rows = stage(postings.withColumn("place", F.col("q") + 1 - down).where("place <= apart + 2").drop("lines"), "placed")
-    shared = stage(rows.withColumn("lines", F.count("*").over(W.partitionBy("token"))).where("lines > 1").drop("lines"), "shared")
-    enough = F.count("*").over(W.partitionBy("h", "parts")) >= F.least(F.lit(2), F.col("q") - F.col("apart"))
-    kept = stage(shared.withColumn("enough", enough).where("enough").drop("enough", "parts", "apart"), "enough")
-    out = stage(kept.withColumn("lines", F.count("*").over(W.partitionBy("token"))).where("lines > 1"), "chosen")
-    unstage(rows, shared, kept)
-    return out.select("token", "h", "n", "q", "place", "lines")
+    rank = W.partitionBy("h", "line").orderBy(F.col("lines").desc(), "token")
+    rows = postings.select("token", "h", "line", F.row_number().over(rank).alias("down"), F.lead("token").over(rank).isNull().alias("last"))
+    rows = rows.select("token", "h", n, q, (q + 1 - F.col("down")).alias("place"), "last", (_most(n, F.col("line") < 0) + 2).alias("most"))
+    # The last of a line in the last place is alone, but two are needed where a line has so many tokens.
+    rows = stage(rows.where((F.col("place") <= F.col("most")) & ~(F.col("last") & (F.col("place") == F.col("most")))).drop("last", "most"), "placed")
+    out = stage(rows.withColumn("lines", F.count("*").over(W.partitionBy("token"))).where("lines > 1"), "chosen")
+    unstage(rows)
+    return out
 
 
 def _repeated(sets: DataFrame) -> list[DataFrame]:
     """The postings of tokens that stand in more than one line, in PASSES tables."""
-    # The numbers of a line are one column while rows move.
-    packed = sets.drop("head")
     out = []
     for k in range(PASSES):
-        rows = packed.where(F.pmod("token", F.lit(PASSES)) == k).withColumn("lines", F.count("*").over(W.partitionBy("token"))).where("lines > 1")
+        rows = sets.where(F.pmod("token", F.lit(PASSES)) == k).withColumn("lines", F.count("*").over(W.partitionBy("token"))).where("lines > 1")
         out.append(stage(rows, "repeated"))
     return out
 
@@ -231,9 +249,7 @@ def _known(docs: DataFrame, text: str, least: int, wanted: DataFrame) -> DataFra
     """(h, g, first, docs, crowded, words) of every line that stands in several documents or
     is ``wanted`` (h, crowded); only the latter has words, as hashes."""
     rows = _lines(docs, text, least).join(_small(wanted), "h", "left")
-    # An empty string is no word.
-    words = F.transform(F.array_remove(_words(F.col("line")), ""), lambda w: F.xxhash64(w))
-    rows = rows.select("h", "g", F.struct("doc_id", "t", "at").alias("first"), "crowded", F.when(F.col("crowded").isNotNull(), words).alias("words"))
+    rows = rows.select("h", "g", F.struct("doc_id", "t", "at").alias("first"), "crowded", F.when(F.col("crowded").isNotNull(), _hashes(F.col("line"))).alias("words"))
     out = rows.groupBy("h", "g").agg(F.min("first").alias("first"), F.count("*").alias("docs"), F.first("crowded").alias("crowded"), F.first("words").alias("words"))
     return out.where("docs > 1 or words is not null")
 
@@ -241,15 +257,15 @@ def _known(docs: DataFrame, text: str, least: int, wanted: DataFrame) -> DataFra
 def matched_lines(docs: DataFrame, text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """(h, g, first, docs, near): lines that have equal or earlier near copies.  first is the
     first place of the line, docs how many texts have it, near whether an earlier line matches."""
-    sets = stage(_sets(docs, text, least), "sets")
+    # The numbers of a line are one column while rows move.
+    sets = stage(_packed(_sets(docs, text, least)), "sets")
     n, parts_of, q = _unpacked()
-    thin = stage(sets.where(F.col("head") & (q <= F.col("apart"))).select("h", n, parts_of), "thin")
+    thin = stage(sets.where(q <= _most(n, F.col("line") < 0)).select("h", n, parts_of).distinct(), "thin")
     parts = _repeated(sets)
     unstage(sets)
     postings = parts[0]
     for more in parts[1:]:
         postings = postings.union(more)
-    postings = postings.select("token", "h", n, parts_of, q, "apart", "lines")
     chosen = _chosen(postings)
     unstage(*parts)
     pairs = few = stage(_pairs(chosen.where(F.col("lines") <= FEW)), "pairs")
@@ -304,7 +320,7 @@ def _cleaned(docs: DataFrame, text: str, least: int) -> DataFrame:
     lost = stage(_places(docs, text, least), "lost")
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("t"), F.col(text).alias("text"))
-    lost = lost.select(F.col("doc_id").alias("lost_id"), F.col("t").alias("lost_t"), "lost")
+    lost = _small(lost.select(F.col("doc_id").alias("lost_id"), F.col("t").alias("lost_t"), "lost"))
     rows = rows.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")) & (F.col("t") == F.col("lost_t")), "left")
 
     def kept(every: Column) -> Column:
